@@ -8,15 +8,19 @@ import uuid
 import weakref
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _LIVE: dict[str, weakref.ref] = {}
 _LOCAL_BASE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by directory and name; only Spark's readers touch the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,7 +92,7 @@ def small_batches(batches, column: str, limit: int = 4 << 20):
         n = batch.num_rows
         if not n:
             continue
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
         start = held = 0
         for i, size in enumerate(lengths.to_pylist()):
             size = size or 0

@@ -45,24 +45,27 @@ def combinations(hist: np.ndarray, common: int = 48) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls_counts(hist: np.ndarray, combos: list[tuple[int, ...]], sweeps: int = 60) -> np.ndarray:
-    """Whole repeat counts: coordinate descent on ||A x - hist||^2 with x >= 0, rounded down and kept within hist."""
-    cols = [np.unique(c, return_counts=True) for c in combos]
-    norm = [float((k.astype(float) ** 2).sum()) for _, k in cols]
-    left, x = hist.astype(float).copy(), np.zeros(len(combos))
-    for _ in range(sweeps):
-        moved = 0.0
-        for j, (at, k) in enumerate(cols):
-            new = max(0.0, x[j] + float(left[at] @ k) / norm[j])
-            if new != x[j]:
-                left[at] -= (new - x[j]) * k
-                moved = max(moved, abs(new - x[j]))
-                x[j] = new
-        if moved < 0.25:
-            break
+def nnls_counts(hist: np.ndarray, combos: list[tuple[int, ...]], steps: int = 400) -> np.ndarray:
+    """Whole repeat counts: accelerated projected gradient on ||A x - hist||^2 with x >= 0, rounded down and kept within hist."""
+    if not combos:
+        return np.zeros(0, np.int64)
+    col = np.repeat(np.arange(len(combos)), [len(c) for c in combos])
+    row = np.concatenate([np.array(c) for c in combos])
+    target = hist.astype(float)
+    # a bound of the largest eigenvalue of A^T A: the largest column sum times the largest row sum
+    step = 1.0 / (3.0 * max(1, np.bincount(row, minlength=len(hist)).max()))
+    x = y = np.zeros(len(combos))
+    t = 1.0
+    for _ in range(steps):
+        left = np.bincount(row, y[col], minlength=len(hist)) - target
+        new = np.maximum(0.0, y - step * np.bincount(col, left[row], minlength=len(combos)))
+        t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        y, x = new + (last - 1) / t * (new - x), new
     spare, out = hist.astype(np.int64).copy(), np.zeros(len(combos), np.int64)
-    for j in np.argsort(-x, kind="stable"):
-        at, k = cols[j]
+    for j in np.argsort(-x, kind="stable").tolist():
+        if x[j] < 1:
+            break
+        at, k = np.unique(combos[j], return_counts=True)
         out[j] = min(int(x[j]), int((spare[at] // k).min()))
         spare[at] -= out[j] * k
     return out
