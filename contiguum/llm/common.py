@@ -140,6 +140,8 @@ def min_label_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: st
     spark = scratch.spark
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u <> v").distinct()
     cur = scratch.save(e, "cc")
+    if cur.isEmpty():
+        return cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
     seen = None
     for _ in range(60):
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
