@@ -1,9 +1,9 @@
 """Toxicity scoring by non-negative positive-unlabelled learning (Kiryo et al., 2017).
 
-Confirmed toxic texts are the positives; all other texts of the training fold, labelled or not, are the unlabelled
-set.  The risk of a linear logistic classifier over hashed words is estimated from the two with the class
-prior, and its negative part is held at or above zero: when a mini-batch's estimate falls below, the
-step undoes it.  Training runs in numpy on the driver over a bounded sample; scoring runs where the texts are.
+Confirmed toxic texts are the positives; all texts of the training fold, without their labels, are the unlabelled
+set.  The risk of a linear logistic classifier over hashed words and word stems is estimated from the two with the class
+prior, and the part for negatives is held at or above zero: where its estimate falls below, it
+no longer pulls.  Training runs in numpy on the driver over a bounded sample; scoring runs where the texts are.
 """
 
 from __future__ import annotations
@@ -19,23 +19,25 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import small_batches
 
-DIMS = 1 << 18
+DIMS = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 400_000
-_CACHE: dict[str, int] = {}
+STEMS = (4, 6)
+_CACHE: dict[str, tuple[int, ...]] = {}
 
 
 def slots(text: str | None) -> np.ndarray:
-    """Distinct hashed words of a whole text (letters only, lower case)."""
+    """Distinct hashed words (letters only, lower case) of a whole text, and their stems of ``STEMS`` letters."""
     words = set(WORD.findall(text.lower())) if text else ()
     if len(_CACHE) > CACHE:
         _CACHE.clear()
-    out = set()
+    out: set[int] = set()
     for w in words:
         s = _CACHE.get(w)
         if s is None:
-            s = _CACHE[w] = zlib.crc32(w.encode()) % DIMS
-        out.add(s)
+            names = [w] + [f"{w[:n]}~" for n in STEMS if len(w) > n]
+            s = _CACHE[w] = tuple(zlib.crc32(x.encode()) % DIMS for x in names)
+        out.update(s)
     return np.fromiter(out, np.int32, len(out))
 
 
@@ -49,9 +51,9 @@ class PuClassifier:
         return 1.0 / (1.0 + float(np.exp(-np.clip(self.weights[at].sum() + self.bias, -40, 40))))
 
     @staticmethod
-    def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, least: int = 5, seed: int = 7) -> PuClassifier:
-        """``prior``: share of positives among the unlabelled.  Words in fewer than ``least`` positives have no weight:
-        a handful of copies must not make a word toxic."""
+    def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 5e-4, least: int = 5, share: float = 3.0) -> PuClassifier:
+        """``prior``: share of positives among the unlabelled.  Words have a weight only if they are in ``least`` positives
+        (a handful of copies must not make a word toxic) and ``share`` times as common there as in all texts."""
         w, b = np.zeros(DIMS), 0.0
         if not pos:
             return PuClassifier(w, -np.log(1e9))
@@ -60,10 +62,10 @@ class PuClassifier:
         prior = min(max(prior, 1e-4), 0.9)
         in_pos = np.bincount(np.concatenate(pos), minlength=DIMS)
         in_unl = np.bincount(np.concatenate(unl), minlength=DIMS)
-        # words that stand out among the positives against chance, by a normal bound
+        # words that stand out among the positives: against chance, by a normal bound, and by their share
         rate_unl = (in_unl + 0.5) / (len(unl) + 1)
         excess = (in_pos - len(pos) * rate_unl) / np.sqrt(len(pos) * rate_unl * (1 - rate_unl))
-        names = np.flatnonzero((in_pos >= min(least, max(1, len(pos) // 4))) & (excess > 4))
+        names = np.flatnonzero((in_pos >= min(least, max(1, len(pos) // 4))) & (excess > 4) & (in_pos > share * len(pos) * rate_unl))
         col = np.full(DIMS, -1, np.int64)
         col[names] = np.arange(len(names))
 
@@ -72,45 +74,33 @@ class PuClassifier:
             parts = [p[p >= 0] for p in parts]
             return np.concatenate([*parts, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, parts)])
 
-        (pi, pp), (ui, up) = rows(pos), rows(unl)
         w, m1, m2 = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
         w[-1] = np.log(prior / (1 - prior))
-        rng, t = np.random.default_rng(seed), 0
-        batches = max(1, min(20, len(unl) // 500))
-
-        def take(at, ptr, which):
-            n = np.diff(ptr)[which]
-            start = np.repeat(ptr[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            return at[start + np.arange(n.sum())], np.repeat(np.arange(len(which)), n), len(which)
-
         def logits(x):
-            at, doc, n = x
-            return np.bincount(doc, w[at], minlength=n) + w[-1]
+            at, ptr = x
+            total = np.concatenate([[0.0], np.cumsum(w[at])])
+            return total[ptr[1:]] - total[ptr[:-1]] + w[-1]
 
         def pull(x, g):
             """Gradient of sum(g * logits)."""
-            at, doc, _ = x
-            out = np.bincount(at, g[doc], minlength=len(w))
+            at, ptr = x
+            out = np.bincount(at, np.repeat(g, np.diff(ptr)), minlength=len(w))
             out[-1] = g.sum()
             return out
 
         sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        for _ in range(epochs):
-            ps, us = (np.array_split(rng.permutation(len(x) - 1), batches) for x in (pp, up))
-            for p, u in zip(ps, us, strict=True):
-                if not len(p) or not len(u):
-                    continue
-                xp, xu = take(pi, pp, p), take(ui, up, u)
-                zp, zu = logits(xp), logits(xu)
-                # logistic loss; positives as negatives are taken out of the unlabelled with the class prior
-                negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-                g_neg = pull(xu, sig(zu) / len(zu)) - prior * pull(xp, sig(zp) / len(zp))
-                g = prior * pull(xp, (sig(zp) - 1) / len(zp)) + g_neg if negative >= 0 else -g_neg
-                g[:-1] += decay * w[:-1]
-                t += 1
-                m1 = 0.9 * m1 + 0.1 * g
-                m2 = 0.999 * m2 + 0.001 * g * g
-                w = w - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        xp, xu = rows(pos), rows(unl)
+        for t in range(1, steps + 1):  # Adam on the whole sample: the risk's estimate is too noisy on parts of it
+            zp, zu = logits(xp), logits(xu)
+            # logistic loss; positives as negatives are taken out of the unlabelled with the class prior
+            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+            g = prior * pull(xp, (sig(zp) - 1) / len(zp))
+            if negative >= 0:
+                g = g + pull(xu, sig(zu) / len(zu)) - prior * pull(xp, sig(zp) / len(zp))
+            g[:-1] += decay * w[:-1]
+            m1 = 0.9 * m1 + 0.1 * g
+            m2 = 0.999 * m2 + 0.001 * g * g
+            w = w - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         full = np.zeros(DIMS)
         full[names] = w[:-1]
         return PuClassifier(full, float(w[-1]))
@@ -147,8 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = 12_00
     cut = min(1 << 30, int((1 << 30) * min(1.0, 3.0 * sample / total)))
     drawn = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut)
     drawn_pos = toxic.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * min(1.0, 3.0 * sample / max(1, n_pos)))))
-    other = drawn.join(marks.filter("y = 1").select("doc_id"), "doc_id", "left_anti")
-    return PuClassifier.fit(smallest(drawn_pos), smallest(other), (n_pos / n if n else 0.0))
+    return PuClassifier.fit(smallest(drawn_pos), smallest(drawn), (n_pos / n if n else 0.0))
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
