@@ -113,3 +113,64 @@ def cut_ranges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     at = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
     end = np.append(at[1:], len(keys))
     return [(r, int(a), int(b)) for r, (a, b) in enumerate(zip(at, end, strict=True)) if b > a]
+
+
+def bucketed(scratch: Scratch, blocks: DataFrame, buckets: int) -> DataFrame:
+    """The blocks as a table bucketed by block id, so that joins with what comes back for a block leave the texts where they are."""
+    scratch.n += 1
+    name = f"contiguum_{scratch.path.rsplit('-', 1)[-1]}_{scratch.n}"
+    blocks.write.option("path", f"{scratch.path}/{name}").option("compression", "none").bucketBy(buckets, "block").saveAsTable(name)
+    return scratch.spark.table(name)
+
+
+def exchange(blocks: DataFrame, keys_of, bits: int, rule: str, width: int = 8, columns: tuple[str, ...] = ()) -> DataFrame:
+    """One bit for each distinct key of each block, decided over all blocks: rows ``(block, <rule>)``.
+
+    ``keys_of(row)`` gives a block's sorted distinct 64-bit keys, and which of them it has more than once.  Rules: ``repeated``, some block
+    or two blocks have the key more than once; ``later``, a block with a smaller id has it too.  With ``width`` 4 only 32 bits
+    of a key beside its range are compared, which can only set more bits.  A range's task holds one entry for each block
+    and key.  The bits come back as an array of (part, bitmap), each aligned with the keys of that hash range.
+    """
+
+    def spread(batches):
+        for row in rows_of(batches):
+            keys, twice = keys_of(row)
+            short = keys if width == 8 else ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+            cuts = cut_ranges(keys, bits)
+            if cuts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r for r, _, _ in cuts], pa.int32()), pa.array([row["block"]] * len(cuts), pa.int64()), pa.array([short[a:b].tobytes() for _, a, b in cuts], pa.binary()), pa.array([np.packbits(twice[a:b]).tobytes() for _, a, b in cuts], pa.binary())],
+                    names=["part", "block", "keys", "twice"],
+                )
+
+    def decide(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("block").to_numpy(), kind="stable")
+        keys = [np.frombuffer(x, np.uint64 if width == 8 else np.uint32) for x in table.column("keys").to_pylist()]
+        keys = [keys[i] for i in order]
+        twice = table.column("twice").to_pylist()
+        sizes = [len(k) for k in keys]
+        all_keys = np.concatenate(keys)
+        by_key = np.argsort(all_keys, kind="stable")  # equal keys stay in block order
+        same = np.concatenate([[False], all_keys[by_key][1:] == all_keys[by_key][:-1]])
+        out = np.zeros(len(all_keys), bool)
+        if rule == "later":
+            out[by_key] = same
+        else:
+            out[by_key] = same | np.concatenate([same[1:], [False]])
+            out |= np.concatenate([np.unpackbits(np.frombuffer(twice[i], np.uint8), count=n).astype(bool) for i, n in zip(order, sizes, strict=True)])
+        ends = np.cumsum([0, *sizes])
+        found = [np.packbits(out[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"block": table.column("block").take(pa.array(order)), "part": table.column("part"), "bits": pa.array(found, pa.binary())})
+
+    out = blocks.select("block", "ids", "sizes", "texts", *columns).mapInArrow(spread, "part int, block long, keys binary, twice binary")
+    back = out.groupBy("part").applyInArrow(decide, "block long, part int, bits binary")
+    return back.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias(rule))
+
+
+def bits_of(parts: list[dict] | None, keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bits that came back, for the block's sorted distinct keys."""
+    out = np.zeros(len(keys), bool)
+    known = {p["part"]: p["bits"] for p in parts or ()}
+    for r, a, b in cut_ranges(keys, bits):
+        out[a:b] = np.unpackbits(np.frombuffer(known[r], np.uint8), count=b - a).astype(bool)
+    return out
