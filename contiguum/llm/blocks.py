@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401 - pa.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,33 +61,49 @@ def prefix_hash(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, down
 
 
-def build_blocks(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES) -> DataFrame:
-    """Pack documents into blocks where they are read: no shuffle.  A null text is stored as empty, a null id as ``NONE``."""
+def build_blocks(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pack documents into blocks where they are read: no shuffle.  A null text is stored as empty, a null id as ``NONE``.
+
+    ``carry`` names other columns whose values the blocks keep, as an Arrow stream.
+    """
 
     def run(batches):
         task, seq, held = TaskContext.get().partitionId(), 0, 0
         ids: list[int] = []
         texts: list[bytes] = []
+        others: list[pa.RecordBatch] = []
 
         def block():
             sizes = np.array([len(t) for t in texts], np.int64)
             cols = [np.array(ids, np.int64).tobytes(), sizes.tobytes(), zlib.compress(b"".join(texts), 1)]
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], names=["block", "ids", "sizes", "texts"])
+            if carry:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, others[0].schema) as writer:
+                    writer.write_table(pa.Table.from_batches(others).combine_chunks())
+                cols.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], names=["block", "ids", "sizes", "texts", *["carry"] * bool(carry)])
 
         for batch in small_batches(batches, "text", limit):
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)):
                 t = t or b""
                 if texts and held + len(t) > limit:
                     yield block()
-                    ids, texts, held, seq = [], [], 0, seq + 1
+                    ids, texts, others, held, seq = [], [], [], 0, seq + 1
+                if carry:
+                    others.append(batch.slice(k, 1).select(list(carry)))
                 ids.append(NONE if i is None else i)
                 texts.append(t)
                 held += len(t)
         if texts:
             yield block()
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return scratch.save(src.mapInArrow(run, BLOCK_SCHEMA), "blocks")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    return scratch.save(src.mapInArrow(run, BLOCK_SCHEMA + ", carry binary" * bool(carry)), "blocks")
+
+
+def open_carry(blob: bytes) -> dict[str, pa.Array]:
+    table = pa.ipc.open_stream(blob).read_all().combine_chunks()
+    return {n: table.column(n).chunk(0) if table.num_rows else pa.array([], table.schema.field(n).type) for n in table.schema.names}
 
 
 def open_block(ids: bytes, sizes: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:

@@ -64,8 +64,8 @@ def shingle_sets(data: bytes, offsets: np.ndarray, n: int) -> list[np.ndarray]:
             if b - a >= n:
                 out.append(np.unique(roll[a : b - n + 1]))
             elif b > a:
-                one = (h[a:b] * STEP[: b - a]).sum(dtype=np.uint64) + STEP[n + b - a]
-                out.append(mix(np.array([one], np.uint64)))
+                one = (h[a:b] * STEP[: b - a]).sum(dtype=np.uint64, keepdims=True) + STEP[n + b - a : n + b - a + 1]
+                out.append(mix(one))
             else:
                 out.append(np.zeros(0, np.uint64))
         first = last

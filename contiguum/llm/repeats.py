@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .blocks import NONE, bits_of, bucketed, build_blocks, byte_values, exchange, mix, open_block, prefix_hash, range_bits, rows_of
+from .blocks import NONE, bits_of, bucketed, build_blocks, byte_values, exchange, mix, open_block, open_carry, prefix_hash, range_bits, rows_of
 from .common import Scratch, partitions_for, text_bytes
 
 GRAM = 32
@@ -99,12 +100,13 @@ def first_of(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, first
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts earlier (smaller id, or same document, earlier start).
 
     Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256, and with ``keep_text`` the kept bytes as ``kept`` (binary).  A null text
     is empty; texts shorter than ``length`` are kept whole.  Rows with the same id come one after the other in some order; null
     ids come first.  Other columns are not read.  An empty table gives an empty result.
+    ``carry`` names other columns that come back with each row.
     """
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
@@ -112,8 +114,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     scratch = Scratch(spark, "repeats")
     n, total = text_bytes(docs, text_col)
     parts = partitions_for(spark, total, 24 << 20)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = build_blocks(scratch, src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id"), "doc_id", "text")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    packed = build_blocks(scratch, src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id"), "doc_id", "text", carry=carry)
     blocks = bucketed(scratch, packed, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (12 << 20))))
     scratch.drop(packed)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -175,12 +177,37 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 for col, v in zip(out, (None if i == NONE else i, b - a, int(c.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None), strict=True):
                     col.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            more_columns = open_carry(row["carry"]) if carry else {}
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types, strict=True)), *more_columns.values()], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *more_columns])
 
     repeated = scratch.save(exchange(blocks, anchor_keys, few, "repeated", width=4), "anchors")
     later = scratch.save(exchange(with_bits(repeated), stretch_keys, few, "later", columns=("repeated",)), "stretches")
     later2 = exchange(with_bits(repeated, later), string_keys, more, "later", columns=("repeated", "later")).withColumnRenamed("later", "later2")
     later2 = scratch.save(later2, "strings")
-    final = with_bits(repeated, later, later2).select("ids", "sizes", "texts", "repeated", "later", "later2")
-    out = final.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    final = with_bits(repeated, later, later2).select("ids", "sizes", "texts", *["carry"] * bool(carry), "repeated", "later", "later2")
+    shape = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = final.mapInArrow(cut, T.StructType(shape.fields + [src.schema[c] for c in carry]))
     return out if keep_text else out.drop("kept")
+
+
+def cut_documents(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``documents`` without their repeated strings, with all their columns; ``n_chars`` is counted anew.
+
+    A cut that falls inside a character takes the rest of it along.  A document that had text and has none left goes;
+    null texts stay null, and empty ones empty.
+    """
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    src = docs.withColumn("_null", F.col("text").isNull())
+    out = remove_repeats(src, length, keep_text=True, carry=(*others, "_null")).filter((F.col("n_bytes") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    shape = T.StructType([docs.schema["doc_id"], docs.schema["text"], *(docs.schema[c] for c in others)])
+
+    def whole(batches):
+        for batch in batches:
+            cols = {n: batch.column(j) for j, n in enumerate(batch.schema.names)}
+            text = [None if null else kept.decode("utf-8", "ignore") for kept, null in zip(cols["kept"].to_pylist(), cols["_null"].to_pylist(), strict=True)]
+            if "n_chars" in cols:
+                size, cut = cols["n_chars"].to_pylist(), cols["n_removed"].to_pylist()
+                cols["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(text, cut, size, strict=True)], cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([cols["doc_id"], pa.array(text, pa.string()), *(cols[c] for c in others)], names=["doc_id", "text", *others])
+
+    return out.select("doc_id", "kept", "n_removed", "_null", *others).mapInArrow(whole, shape).select(docs.columns)

@@ -162,3 +162,17 @@ def score(docs: DataFrame, model: PuClassifier, fold: int = 5, id_col: str = "do
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = 12_000) -> DataFrame:
     """Train on the labelled fold and score all documents; without any toxic label every score is near 0."""
     return score(docs, train(docs, labels, fold, sample), fold)
+
+
+def keep_clean(docs: DataFrame, model: PuClassifier, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below ``threshold``, with all their columns.  Null and empty texts stay unless a text without
+    words is toxic to the model."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m = PuClassifier(*sent.value)
+        for batch in small_batches(batches, text_col):
+            yield batch.filter(pa.array([m.score(slots(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
