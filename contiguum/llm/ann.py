@@ -110,6 +110,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, eps: float = 3.0, see
     spark = df.sparkSession
     scratch = Scratch(spark, "ann")
     dim = most_common_dim(df, vec_col)
+    if not dim:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = build_index(df, dim, id_col, vec_col, seed, scratch)
     asked = queries.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     asked = asked.dropDuplicates(["id"])

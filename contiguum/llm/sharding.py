@@ -42,9 +42,10 @@ def quotas(sizes: np.ndarray, requests: np.ndarray, capacity: np.ndarray) -> np.
     return np.where(share < 1e-3, 0.0, share)
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, rounds: int = 8, slack: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every document into one of ``shards`` shards by the law ``rows``: counts are at most one apart.
 
+    ``slack`` is how far over its size linked documents may fill a shard between rounds; the last step takes the excess out.
     Returns doc_id, size (UTF-8 bytes + 1; a null text has none), text_crc32 (0 for null), law, shard, slot (0-based
     within the shard, without gaps) and grown_shard (null under this law).  Null and empty texts are one
     group.  Repeated rows are documents of their own; null ids are kept, and sort first.  Other columns are not
@@ -76,7 +77,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 6, id_col: str = "doc_
             sizes[r["label"]] += r["c"]
             if r["label"] != r["to"]:
                 requests[r["label"], r["to"]] = r["c"]
-        share = quotas(sizes, requests, target.astype(float))
+        share = quotas(sizes, requests, target * (1 + slack))
         granted = (share * requests).sum()
         if granted < 1:
             break
