@@ -31,6 +31,7 @@ from .blocks import NONE, bits_of, bucketed, build_blocks, byte_values, exchange
 from .common import Scratch, partitions_for, text_bytes
 
 GRAM = 32
+BLOCK = 3 << 20  # a task holds about 60 bytes for each byte of a block
 TABLE = byte_values(17)
 
 
@@ -115,7 +116,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     n, total = text_bytes(docs, text_col)
     parts = partitions_for(spark, total, 24 << 20)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    packed = build_blocks(scratch, src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id"), "doc_id", "text", carry=carry)
+    packed = build_blocks(scratch, src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id"), "doc_id", "text", BLOCK, carry=carry)
     blocks = bucketed(scratch, packed, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (12 << 20))))
     scratch.drop(packed)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

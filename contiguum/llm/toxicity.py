@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import small_batches
 
-DIMS = 1 << 20
+DIMS = 1 << 19
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 400_000
+CACHE = 200_000
 STEMS = (4, 6)
 _CACHE: dict[str, tuple[int, ...]] = {}
 
@@ -41,6 +41,12 @@ def slots(text: str | None) -> np.ndarray:
     return np.fromiter(out, np.int32, len(out))
 
 
+def forgetting(batches):
+    """The batches of a task; its word cache ends with it, as the worker goes on to other operators."""
+    yield from batches
+    _CACHE.clear()
+
+
 class PuClassifier:
     """Linear logistic classifier trained with the non-negative PU risk."""
 
@@ -106,7 +112,7 @@ class PuClassifier:
         return PuClassifier(full, float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> PuClassifier:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> PuClassifier:
     """Train on rows with crc32(id as text) mod ``fold`` != 0.
 
     ``sample`` bounds what reaches the driver: the confirmed toxic texts, and the unlabelled ones, with the smallest
@@ -122,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = 12_00
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).filter(in_fold)
 
     def hashed(batches):
-        for batch in small_batches(batches, "text"):
+        for batch in forgetting(small_batches(batches, "text")):
             yield pa.RecordBatch.from_arrays([pa.array([slots(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["at"])
 
     def smallest(ids: DataFrame) -> list[np.ndarray]:
@@ -150,7 +156,7 @@ def score(docs: DataFrame, model: PuClassifier, fold: int = 5, id_col: str = "do
 
     def run(batches):
         m = PuClassifier(*sent.value)
-        for batch in small_batches(batches, "text"):
+        for batch in forgetting(small_batches(batches, "text")):
             s = [m.score(slots(t)) for t in batch.column(1).to_pylist()]
             out = [zlib.crc32(str(i).encode()) % fold == 0 if i is not None else False for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_()), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
@@ -159,7 +165,7 @@ def score(docs: DataFrame, model: PuClassifier, fold: int = 5, id_col: str = "do
     return src.mapInArrow(run, SCORED)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = 12_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = 10_000) -> DataFrame:
     """Train on the labelled fold and score all documents; without any toxic label every score is near 0."""
     return score(docs, train(docs, labels, fold, sample), fold)
 
@@ -172,7 +178,7 @@ def keep_clean(docs: DataFrame, model: PuClassifier, threshold: float = 0.5, tex
 
     def run(batches):
         m = PuClassifier(*sent.value)
-        for batch in small_batches(batches, text_col):
+        for batch in forgetting(small_batches(batches, text_col)):
             yield batch.filter(pa.array([m.score(slots(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
