@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches
 
 BLOCK_BYTES = 6 << 20
+BLOCK_ROWS = 1 << 16  # so that a document's number in its block takes 16 bits
 BLOCK_SCHEMA = "block long, ids binary, sizes binary, texts binary"
 MIX1, MIX2, BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 0x9E3779B97F4A7C15
 NONE = np.iinfo(np.int64).min
@@ -86,7 +87,7 @@ def build_blocks(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str,
         for batch in small_batches(batches, "text", limit):
             for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)):
                 t = t or b""
-                if texts and held + len(t) > limit:
+                if texts and (held + len(t) > limit or len(texts) == BLOCK_ROWS):
                     yield block()
                     ids, texts, others, held, seq = [], [], [], 0, seq + 1
                 if carry:
@@ -133,11 +134,8 @@ def cut_ranges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
 
 
 def bucketed(scratch: Scratch, blocks: DataFrame, buckets: int) -> DataFrame:
-    """The blocks as a table bucketed by block id, so that joins with what comes back for a block leave the texts where they are."""
-    scratch.n += 1
-    name = f"contiguum_{scratch.path.rsplit('-', 1)[-1]}_{scratch.n}"
-    blocks.write.option("path", f"{scratch.path}/{name}").option("compression", "none").bucketBy(buckets, "block").saveAsTable(name)
-    return scratch.spark.table(name)
+    """The blocks as a table bucketed by block id, so that what comes back for a block moves, and the texts do not."""
+    return scratch.bucket(blocks, buckets, "block")
 
 
 def exchange(blocks: DataFrame, keys_of, bits: int, rule: str, width: int = 8, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -191,3 +189,22 @@ def bits_of(parts: list[dict] | None, keys: np.ndarray, bits: int) -> np.ndarray
     for r, a, b in cut_ranges(keys, bits):
         out[a:b] = np.unpackbits(np.frombuffer(known[r], np.uint8), count=b - a).astype(bool)
     return out
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes: small numbers cost little."""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def from_planes(blob: bytes, dtype) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(dtype).reshape(-1)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending unsigned numbers as their compressed differences."""
+    return planes(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def unpack_sorted(blob: bytes, dtype) -> np.ndarray:
+    return np.cumsum(from_planes(blob, dtype), dtype=dtype)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 _LIVE: dict[str, weakref.ref] = {}
+_TABLES: dict[str, list[str]] = {}
 _LOCAL_BASE: list[str] = []
 
 
@@ -64,6 +65,14 @@ class Scratch:
         out._contiguum_path = path
         return out
 
+    def bucket(self, df: DataFrame, buckets: int, column: str) -> DataFrame:
+        """A table bucketed by a column: joins on it leave this side's rows where they are."""
+        self.n += 1
+        name = f"contiguum_{self.path.rsplit('-', 1)[-1]}_{self.n}"
+        df.write.option("path", f"{self.path}/{name}").option("compression", "none").bucketBy(buckets, column).saveAsTable(name)
+        _TABLES.setdefault(self.path, []).append(name)
+        return self.spark.table(name)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _delete(self.spark, t._contiguum_path)
@@ -75,6 +84,8 @@ def _clean() -> None:
         spark = ref()
         try:
             if spark is not None and spark.sparkContext._jsc is not None:
+                for name in _TABLES.pop(path, ()):
+                    spark.sql(f"DROP TABLE IF EXISTS {name}")
                 _delete(spark, path)
         except Exception:  # noqa: BLE001 - the gateway may be gone while the interpreter ends
             return

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NONE, bucketed, build_blocks, byte_values, mix, open_block, prefix_hash, rows_of
+from .blocks import NONE, bucketed, build_blocks, byte_values, from_planes, mix, open_block, pack_sorted, planes, prefix_hash, rows_of, unpack_sorted
 from .common import Scratch, text_bytes
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -166,41 +166,77 @@ class Streams:
 
     def __init__(self, row: dict, depth: int, fold: int, part: int):
         self.ids, offsets, data = open_block(row["ids"], row["sizes"], row["texts"])
-        words = [tokens_of(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         self.held = np.array([held(None if i == NONE else i, fold, part) for i in self.ids.tolist()], bool)
-        self.n_tokens = np.array([len(w) + 1 for w in words], np.int64)
-        texts = [b" ".join(w) + END for w in words]
+        texts, n_tokens = [], []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            words = tokens_of(data[a:b])
+            n_tokens.append(len(words) + 1)
+            texts.append(b" ".join(words) + END)
+        self.n_tokens = np.array(n_tokens, np.int64)
         self.sizes = np.array([len(t) for t in texts], np.int64)
-        pad = END * depth
-        stream = np.frombuffer(pad + pad.join(texts), np.uint8)
-        at = grams(stream, depth)
-        ends = np.cumsum(self.sizes + depth)  # the pads between documents are nobody's bytes
+        self.texts, self.depth = texts, depth
+
+    def gram_runs(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct grams of up to 256 documents, where each one's run starts, and the document of every byte in gram order.
+
+        Gram and document number share one 64-bit number, so plain sorting brings both in order.
+        """
+        pad, sizes = END * self.depth, self.sizes[first:last]
+        at = grams(np.frombuffer(pad + pad.join(self.texts[first:last]), np.uint8), self.depth)
         inside = np.ones(len(at), bool)
-        for k in range(depth):
-            inside[ends[:-1] - depth + k] = False
-        self.grams = at[inside]
-        joined = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum(sizes + self.depth)  # the pads between documents are nobody's bytes
+        for k in range(self.depth):
+            inside[ends[:-1] - self.depth + k] = False
+        at = at[inside] << np.uint64(8)
+        at |= np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+        at.sort()
+        doc = (at & np.uint64(0xFF)).astype(np.uint16) + np.uint16(first)
+        at >>= np.uint64(8)
+        start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        return at[start], start, doc
+
+    def word_runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for hashes of words; every text has one end."""
+        joined = np.frombuffer(b"".join(self.texts), np.uint8)
         pre, down = prefix_hash(joined, TABLE)
         stop = np.flatnonzero((joined == 32) | (joined == 10))
         start = np.concatenate([[0], stop[:-1] + 1])
-        # a word, or the empty string before an end behind a word's own blank: every text closes with one end
+        real = stop > start  # nothing stands before the end of a text without words
+        start, stop = start[real], stop[real]
         h = mix((pre[stop] - pre[start]) * down[start] + (stop - start).astype(np.uint64))
-        closing = joined[stop] == 10
-        doc = np.repeat(np.arange(len(texts)), np.maximum(self.n_tokens - 1, 1))
-        real = stop > start
-        end_hash = mix(np.array([0xE0D], np.uint64))
-        self.words = np.concatenate([h[real], np.repeat(end_hash, len(texts))])
-        self.word_doc = np.concatenate([doc[real], np.arange(len(texts))])
-        assert closing.sum() == len(texts)
-
-    def gram_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        keys, inverse = np.unique(self.grams, return_inverse=True)
-        return keys, np.bincount(inverse, (~self.held)[doc], minlength=len(keys)).astype(np.int64), inverse
+        doc = np.repeat(np.arange(len(self.texts), dtype=np.uint16), self.n_tokens - 1)
+        h = np.concatenate([h, np.repeat(mix(np.array([0xE0D], np.uint64)), len(self.texts))])
+        doc = np.concatenate([doc, np.arange(len(self.texts), dtype=np.uint16)])
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return h[first], first, doc
+
+    def runs(self, kind: int):
+        """Parts (keys, run starts, documents): grams by 256 documents, words of all."""
+        if kind:
+            yield self.word_runs()
+        else:
+            for first in range(0, len(self.texts), 256):
+                yield self.gram_runs(first, min(first + 256, len(self.texts)))
+
+    def table(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of the block and their counts in training documents."""
+        keys, counts = [], []
+        for k, start, doc in self.runs(kind):
+            keys.append(k)
+            counts.append(np.add.reduceat((~self.held)[doc], start, dtype=np.uint32))
+        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        return u, np.bincount(inverse, np.concatenate(counts), minlength=len(u)).astype(np.uint32)
 
-    def word_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(self.words, return_inverse=True)
-        return keys, np.bincount(inverse, (~self.held)[self.word_doc], minlength=len(keys)).astype(np.int64), inverse
+    def sums(self, kind: int, keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+        """For each document, the sums over its bytes (or words) of values given by distinct key."""
+        out = [np.zeros(len(self.texts)) for _ in values]
+        for k, start, doc in self.runs(kind):
+            at, runs = np.searchsorted(keys, k), np.diff(np.append(start, len(doc)))
+            for total, v in zip(out, values, strict=True):
+                total += np.bincount(doc, np.repeat(v[at], runs), minlength=len(total))
+        return out
 
 
 def deal(keys: np.ndarray, kind: int, parts: int, depth: int) -> np.ndarray:
@@ -209,7 +245,7 @@ def deal(keys: np.ndarray, kind: int, parts: int, depth: int) -> np.ndarray:
     return (mix(lead) % np.uint64(parts)).astype(np.int64)
 
 
-def score(docs: DataFrame, depth: int = 7, fold: int = 5, part: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, depth: int = 6, fold: int = 5, part: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """log10 probability of every whole text under the tree and under unigram counts, learnt from the rows outside the held-out part.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  ``score`` is the probability of the token stream
@@ -217,8 +253,8 @@ def score(docs: DataFrame, depth: int = 7, fold: int = 5, part: int = 1, id_col:
     code length per byte.  A null or blank text is just the end.  Rows are independent, repeated rows count
     again, null ids are training rows; other columns are not read.  An empty table gives an empty result.
     """
-    if not 2 <= depth <= 7:
-        raise ValueError("depth must be 2 to 7")
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must be 2 to 6: a gram and a document's number among 256 share 64 bits")
     spark = docs.sparkSession
     scratch = Scratch(spark, "ctw")
     _, total = text_bytes(docs, text_col)
@@ -231,25 +267,26 @@ def score(docs: DataFrame, depth: int = 7, fold: int = 5, part: int = 1, id_col:
     def spread(batches):
         for row in rows_of(batches):
             s = Streams(row, depth, fold, part)
-            for kind, (keys, counts, _) in enumerate((s.gram_table(), s.word_table())):
+            for kind in (0, 1):
+                keys, counts = s.table(kind)
                 to = deal(keys, kind, parts, depth)
                 order = np.argsort(to, kind="stable")
                 bounds = np.searchsorted(to[order], np.arange(parts + 1))
                 for p in range(parts):
                     at = order[bounds[p] : bounds[p + 1]]
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((kind, pa.int32()), (p, pa.int32()), (row["block"], pa.int64()), (keys[at].tobytes(), pa.binary()), (np.minimum(counts[at], (1 << 32) - 1).astype(np.uint32).tobytes(), pa.binary()))], names=["kind", "part", "block", "keys", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((kind, pa.int32()), (p, pa.int32()), (row["block"], pa.int64()), (pack_sorted(keys[at]), pa.binary()), (planes(counts[at]), pa.binary()))], names=["kind", "part", "block", "keys", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+        keys = [unpack_sorted(x, np.uint64) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([from_planes(x, np.uint32) for x in table.column("counts").to_pylist()])
         u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         c = np.bincount(inverse, counts, minlength=len(u)).astype(np.int64)
         ends = np.cumsum([0, *map(len, keys)])
-        at = [inverse[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        at = [pack_sorted(inverse[a:b].astype(np.uint32)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         up = Tree(u, c, depth, 2).roots() if kind == 0 else {k: np.zeros(0) for k in ("node", "below", "zeros", "ones")}
-        row = {"kind": kind, "part": table.column("part")[0].as_py(), "keys": u.tobytes(), "counts": c.tobytes(), "n": int(c.sum()), "known": int((c > 0).sum()), "blocks": table.column("block").to_pylist(), "at": at}
+        row = {"kind": kind, "part": table.column("part")[0].as_py(), "keys": pack_sorted(u), "counts": planes(c), "n": int(c.sum()), "known": int((c > 0).sum()), "blocks": table.column("block").to_pylist(), "at": at}
         row |= {k: v.astype(np.int64 if k == "node" else float).tolist() for k, v in up.items()}
         return pa.Table.from_pylist([row], schema=MERGED)
 
@@ -266,14 +303,14 @@ def score(docs: DataFrame, depth: int = 7, fold: int = 5, part: int = 1, id_col:
     def answer(batches):
         top = None
         for row in rows_of(batches):
-            c = np.frombuffer(row["counts"], np.int64)
+            c = from_planes(row["counts"], np.int64)
             if row["kind"] == 0:
                 top = top or Upper(*upper.value)
-                value = Tree(np.frombuffer(row["keys"], np.uint64), c, depth, 2).log_probabilities(top).astype(np.float32)
+                value = Tree(unpack_sorted(row["keys"], np.uint64), c, depth, 2).log_probabilities(top).astype(np.float32)
             else:
-                value = c.astype(np.float64)
+                value = c.astype(np.uint32)
             for b, at in zip(row["blocks"], row["at"], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([row["kind"]], pa.int32()), pa.array([row["part"]], pa.int32()), pa.array([value[np.frombuffer(at, np.int32)].tobytes()], pa.binary())], names=["block", "kind", "part", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([row["kind"]], pa.int32()), pa.array([row["part"]], pa.int32()), pa.array([planes(value[unpack_sorted(at, np.uint32)])], pa.binary())], names=["block", "kind", "part", "value"])
 
     back = merged.select("kind", "part", "keys", "counts", "blocks", "at").mapInArrow(answer, "block long, kind int, part int, value binary")
     back = back.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "value")).alias("back"))
@@ -282,17 +319,20 @@ def score(docs: DataFrame, depth: int = 7, fold: int = 5, part: int = 1, id_col:
         for row in rows_of(batches):
             s = Streams(row, depth, fold, part)
             found = {(b["kind"], b["part"]): b["value"] for b in row["back"]}
-            value = []
-            for kind, (keys, _, inverse) in enumerate((s.gram_table(), s.word_table())):
+            sums = []
+            for kind in (0, 1):
+                keys, _ = s.table(kind)
                 to = deal(keys, kind, parts, depth)
-                v = np.zeros(len(keys))
-                for p in np.unique(to).tolist():
-                    v[to == p] = np.frombuffer(found[kind, p], np.float32 if kind == 0 else np.float64)
-                value.append(v[inverse])
-            ends = np.cumsum(s.sizes)
-            tree = np.add.reduceat(value[0], ends - s.sizes) * np.log10(2.0)
-            known = np.bincount(s.word_doc, value[1] > 0, minlength=len(s.sizes)).astype(np.int64)
-            base = np.bincount(s.word_doc, np.log10((value[1] + 0.5) / (tokens + 0.5 * (vocabulary + 1))), minlength=len(s.sizes))
+                order = np.argsort(to, kind="stable")
+                bounds = np.searchsorted(to[order], np.arange(parts + 1))
+                v = np.empty(len(keys))
+                for p in range(parts):
+                    if bounds[p] < bounds[p + 1]:
+                        v[order[bounds[p] : bounds[p + 1]]] = from_planes(found[kind, p], np.float32 if kind == 0 else np.uint32)
+                values = (v * np.log10(2.0),) if kind == 0 else (v > 0, np.log10((v + 0.5) / (tokens + 0.5 * (vocabulary + 1))))
+                sums += s.sums(kind, keys, *values)
+            tree, known, base = sums
+            known = known.astype(np.int64)
             ids = pa.array([None if i == NONE else i for i in s.ids.tolist()], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(s.held), pa.array(s.n_tokens), pa.array(known), pa.array(np.full(len(s.sizes), tokens, np.int64)), pa.array(base), pa.array(tree)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

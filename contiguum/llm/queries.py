@@ -67,5 +67,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+LINKED = """u AS (SELECT i AS a, j AS b FROM e UNION SELECT j, i FROM e),
+r(id, lab) AS (SELECT id, id FROM nodes UNION SELECT u.b, r.lab FROM r JOIN u ON u.a = r.id WHERE r.lab < u.b),
+comp AS (SELECT id, min(lab) AS component_id FROM r GROUP BY id)"""
+
+OP2_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+e AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+nodes AS (SELECT vec_id AS id FROM v), {LINKED}
+SELECT c.id AS vec_id, count(u.b) AS n_links, c.component_id, c.id = c.component_id AS kept FROM comp c LEFT JOIN u ON u.a = c.id GROUP BY ALL"""
+
+OP9_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+x AS (SELECT doc_id, unnest(g) AS g FROM s), n AS (SELECT doc_id AS id, len(g) AS n FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT i, j FROM p JOIN n a ON a.id = i JOIN n b ON b.id = j WHERE 100 * c >= 80 * (a.n + b.n - c)),
+nodes AS (SELECT id FROM n), {LINKED}
+SELECT n.id AS doc_id, n.n AS n_shingles, component_id FROM n JOIN comp USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Brute force in SQL, where SQL can say it; the others have brute-force tests."""
+    return {"op2_embed_dedup": OP2_SQL, "op9_jaccard_join": OP9_SQL}
