@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EdgeExists, EdgeNotFound, InvalidEdgeEndpoint, NodeExists, NodeNotFound
@@ -178,10 +178,9 @@ class AssemblyGraph:
         edges = self._without(gone)
         lost = self.links.join(edges.select("id"), "id", "left_anti").select("id")
         # a node's links go first, in the order of their ids
-        changes = lost.select(F.lit("remove").alias("op"), F.lit("edge").alias("kind"), "id").withColumn("seq", F.rank().over(_in_order("id")).cast("long") - 1)
-        n = lost.count()
-        nodes = gone.select(F.lit("remove").alias("op"), F.lit("node").alias("kind"), "id").withColumn("seq", n + F.rank().over(_in_order("id")).cast("long") - 1)
-        return AssemblyGraph(self.segments.join(gone, "id", "left_anti").select(self.segments.columns), edges), Patch(changes.unionByName(nodes).select("seq", "op", "kind", "id"), True)
+        both = lost.select(F.lit("edge").alias("kind"), "id").union(gone.select(F.lit("node").alias("kind"), "id"))
+        changes = numbered(both.withColumn("op", F.lit("remove")), [F.col("kind"), F.col("id")], "seq")
+        return AssemblyGraph(self.segments.join(gone, "id", "left_anti").select(self.segments.columns), edges), Patch(changes.select("seq", "op", "kind", "id"), True)
 
     def _without(self, gone: DataFrame) -> DataFrame:
         links = self.links
@@ -226,7 +225,3 @@ class AssemblyGraph:
         row = self.spark.createDataFrame([(edge_id, new_start, new_end)], f"id string, new_start {END}, new_end {END}")
         return self.reconnect_edges(row), self._patch([("update", "edge", edge_id)], True)
 
-
-def _in_order(column: str):
-    """Order of a change log.  A log is as long as the edit, which its caller gives; it is numbered in one task."""
-    return Window.orderBy(column)
