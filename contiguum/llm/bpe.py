@@ -11,6 +11,7 @@ and the word cache of a worker is emptied beyond ``CACHE_CHUNKS`` distinct words
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -259,11 +260,14 @@ class TextEncoder:
         return " ".join([self.model.tokens[int(i)] for i in ids])
 
 
+#: Bytes of text whose new words go through the trie together: more words share more prefixes.
+TRIE_BYTES = 14 << 20
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
 def encoder(blob: bytes) -> TextEncoder:
     """One encoder for each Python worker and tokenizer file."""
+    gc.disable()  # nothing here makes cycles, and collections walk the whole cache
     key = hashlib.sha256(blob).hexdigest()
     if key not in _ENCODERS:
         _ENCODERS[key] = TextEncoder(json.loads(blob))
@@ -287,7 +291,7 @@ def bpe_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def run(batches):
         enc = encoder(model.value)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", TRIE_BYTES):
             split = [enc.split(t) if t else [] for t in batch.column(1).to_pylist()]
             shown, n, ids, back = enc.learn(set().union(*split), "shown"), [], [], []
             for words in split:
