@@ -62,6 +62,7 @@ class BpeModel:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         self.dtype = np.dtype("<u2") if max(self.tokens) < 1 << 16 else np.dtype("<u4")
+        self.raw = {i: np.array([i], self.dtype).tobytes() for i in self.tokens}
         self.seams: dict[int, bool] = {}
         self.whole = [True] * len(self.names)
         for i, (left, right) in enumerate(self.parts):  # parts come before what is made of them
@@ -215,11 +216,9 @@ class TextEncoder:
 
     def _tokens(self, chunks: list[str]) -> list[list[int]]:
         """Token ids of chunks."""
-        words, added, ids = self.words, self.model.added, self.model.ids
-        parts = [None if c[0] == " " else words(c) for c in chunks]
-        spelled = {w: w if w.isascii() else "".join([self.alphabet[b] for b in w.encode()]) for ws in parts if ws for w in ws}
-        if odd := [w for w in spelled if w.isascii() and not w.isprintable()]:
-            spelled |= {w: "".join([self.alphabet[b] for b in w.encode()]) for w in odd}
+        words, added, ids, alphabet = self.words, self.model.added, self.model.ids, self.alphabet
+        parts = [(c,) if c.isalpha() else None if c[0] == " " else words(c) for c in chunks]  # letters alone are one word
+        spelled = {w: w if w.isascii() and w.isprintable() else "".join([alphabet[b] for b in w.encode()]) for ws in parts if ws for w in ws}
         tokens = self.trie.encode(set(spelled.values()))
         return [[added[c[1:]]] if ws is None else [ids[t] for w in ws for t in tokens[spelled[w]]] for c, ws in zip(chunks, parts, strict=True)]
 
@@ -240,10 +239,10 @@ class TextEncoder:
             known.update(again)
         if not new:
             return known
-        names, dtype = self.model.tokens, self.model.dtype
+        names, raw = self.model.tokens, self.model.raw
         got = self._tokens(new)
         if form == "ids":
-            made = [np.array(g, dtype).tobytes() for g in got]
+            made = [b"".join([raw[i] for i in g]) for g in got]
         else:
             made = [(" ".join(map(str, g)), " ".join([names[i] for i in g])) for g in got]
         if len(fresh) + len(new) > CACHE_CHUNKS // 2:
