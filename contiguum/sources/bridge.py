@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import AssemblyGraph
+from ..operators.lineage import cut
 from ..shipping import ship
 from .gfa import graph_from_lines
 
@@ -54,6 +55,6 @@ def bridge_lines(ev: DataFrame) -> DataFrame:
 
 
 def bridge_graph(spark: SparkSession, sf_dir: str) -> AssemblyGraph:
-    """The bridge text, parsed like any GFA text."""
+    """The bridge text, parsed like any GFA text.  Parsing reads the lines several times, so they are made once."""
     lines = bridge_lines(events(spark, sf_dir)).select(F.col("k").alias("line_no"), F.col("line").alias("value"))
-    return graph_from_lines(lines)
+    return graph_from_lines(cut(lines))
