@@ -177,9 +177,9 @@ class Streams:
         self.texts, self.depth = texts, depth
 
     def gram_runs(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct grams of up to 256 documents, where each one's run starts, and the document of every byte in gram order.
+        """Sorted distinct grams of some documents, where each one's run starts, and the document of every byte in gram order.
 
-        Gram and document number share one 64-bit number, so plain sorting brings both in order.
+        Within the run of a gram the documents come in any order.
         """
         pad, sizes = END * self.depth, self.sizes[first:last]
         at = grams(np.frombuffer(pad + pad.join(self.texts[first:last]), np.uint8), self.depth)
@@ -187,11 +187,9 @@ class Streams:
         ends = np.cumsum(sizes + self.depth)  # the pads between documents are nobody's bytes
         for k in range(self.depth):
             inside[ends[:-1] - self.depth + k] = False
-        at = at[inside] << np.uint64(8)
-        at |= np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-        at.sort()
-        doc = (at & np.uint64(0xFF)).astype(np.uint16) + np.uint16(first)
-        at >>= np.uint64(8)
+        at = at[inside]
+        order = np.argsort(at)
+        at, doc = at[order], np.repeat(np.arange(first, last, dtype=np.uint16), sizes)[order]
         start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         return at[start], start, doc
 
@@ -226,8 +224,7 @@ class Streams:
         for k, start, doc in self.runs(kind):
             keys.append(k)
             counts.append(np.add.reduceat((~self.held)[doc], start, dtype=np.uint32))
-        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        return u, np.bincount(inverse, np.concatenate(counts), minlength=len(u)).astype(np.uint32)
+        return added(np.concatenate(keys), np.concatenate(counts))
 
     def sums(self, kind: int, keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
         """For each document, the sums over its bytes (or words) of values given by distinct key."""
@@ -239,13 +236,21 @@ class Streams:
         return out
 
 
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[start], np.add.reduceat(counts, start, dtype=counts.dtype)
+
+
 def deal(keys: np.ndarray, kind: int, parts: int, depth: int) -> np.ndarray:
     """The task of each key: grams by their two nearest context bytes, so subtrees stay whole; words by hash."""
     lead = keys >> np.uint64(8 * (depth - 1)) if kind == 0 else keys
     return (mix(lead) % np.uint64(parts)).astype(np.int64)
 
 
-def score(docs: DataFrame, depth: int = 6, fold: int = 5, part: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, depth: int = 7, fold: int = 5, part: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """log10 probability of every whole text under the tree and under unigram counts, learnt from the rows outside the held-out part.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  ``score`` is the probability of the token stream
@@ -253,8 +258,8 @@ def score(docs: DataFrame, depth: int = 6, fold: int = 5, part: int = 1, id_col:
     code length per byte.  A null or blank text is just the end.  Rows are independent, repeated rows count
     again, null ids are training rows; other columns are not read.  An empty table gives an empty result.
     """
-    if not 2 <= depth <= 6:
-        raise ValueError("depth must be 2 to 6: a gram and a document's number among 256 share 64 bits")
+    if not 2 <= depth <= 7:
+        raise ValueError("depth must be 2 to 7: a gram is a 64-bit number")
     spark = docs.sparkSession
     scratch = Scratch(spark, "ctw")
     _, total = text_bytes(docs, text_col)
@@ -281,10 +286,8 @@ def score(docs: DataFrame, depth: int = 6, fold: int = 5, part: int = 1, id_col:
         kind = table.column("kind")[0].as_py()
         keys = [unpack_sorted(x, np.uint64) for x in table.column("keys").to_pylist()]
         counts = np.concatenate([from_planes(x, np.uint32) for x in table.column("counts").to_pylist()])
-        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(inverse, counts, minlength=len(u)).astype(np.int64)
-        ends = np.cumsum([0, *map(len, keys)])
-        at = [pack_sorted(inverse[a:b].astype(np.uint32)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        u, c = added(np.concatenate(keys), counts.astype(np.int64))
+        at = [pack_sorted(np.searchsorted(u, k).astype(np.uint32)) for k in keys]
         up = Tree(u, c, depth, 2).roots() if kind == 0 else {k: np.zeros(0) for k in ("node", "below", "zeros", "ones")}
         row = {"kind": kind, "part": table.column("part")[0].as_py(), "keys": pack_sorted(u), "counts": planes(c), "n": int(c.sum()), "known": int((c > 0).sum()), "blocks": table.column("block").to_pylist(), "at": at}
         row |= {k: v.astype(np.int64 if k == "node" else float).tolist() for k, v in up.items()}

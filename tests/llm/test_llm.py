@@ -232,6 +232,24 @@ def test_ctw_against_plain_tree():
         assert abs(chance(raw[:depth][::-1], raw[depth]) - v) < 1e-6
 
 
+def test_ctw_at_production_depth(spark):
+    """The operator's own depth is 7, and its scores are those of one tree over all documents."""
+    rng = np.random.default_rng(4)
+    texts = {i: " ".join(rng.choice(["abracadabra", "cadabra", "barbara", "bar"], 3)) for i in range(300)}
+    stream = [np.frombuffer(ctw.END * 7 + t.encode() + ctw.END, np.uint8) for t in texts.values()]
+    each = [ctw.grams(s, 7) for s in stream]
+    keys = np.unique(np.concatenate(each))
+    counts = sum(np.bincount(np.searchsorted(keys, g), minlength=len(keys)) for i, g in enumerate(each) if not ctw.held(i, 5, 1))
+    tree = ctw.Tree(keys, counts, 7, 2)
+    roots = tree.roots()
+    node, inv = np.unique(roots["node"], return_inverse=True)
+    value = tree.log_probabilities(ctw.Upper(node, *[np.bincount(inv, roots[k]) for k in ("below", "zeros", "ones")])) * np.log10(2)
+    got = ctw.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == 300
+    for r in got:
+        assert abs(r.score - value[np.searchsorted(keys, each[r.doc_id])].sum()) < 1e-4
+
+
 def vectors():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((120, 16))
