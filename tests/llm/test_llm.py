@@ -260,6 +260,14 @@ def vectors():
     return rows
 
 
+def test_embedding_links_across_far_cells(spark):
+    """24 vectors on a circle in two cells: at the border both are nearer to their own centroid by 0.26, yet link at 0.966."""
+    turn = np.arange(24) * np.pi / 12
+    df = spark.createDataFrame([(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(turn)], "vec_id long, embedding array<double>")
+    got = embed_dedup.near_duplicates(df).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (2, 0, i == 0) for i in range(24)}
+
+
 def test_embedding_dedup_and_search(spark):
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors()], "vec_id long, embedding array<double>, rep string")
     good = [(i, np.array(v)) for i, v in vectors() if i is not None and v is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
