@@ -14,20 +14,31 @@ def both_ways(edges: DataFrame, a: str = "a", b: str = "b", keep: tuple[str, ...
 
 
 def component_labels(nodes: DataFrame, edges: DataFrame, node: str = "ord") -> DataFrame:
-    """(node, label): the smallest node of each component.  Minimum over neighbours, then two jumps along labels, until nothing moves."""
-    pairs = cut(both_ways(edges).distinct())
-    cur = cut(nodes.select(F.col(node).cast("long").alias("n"), F.col(node).cast("long").alias("label")))
-    for _ in range(200):
-        near = pairs.join(cur.withColumnRenamed("n", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        nxt = cur.join(near, cur["n"] == near["a"], "left").select("n", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        for _ in range(2):
-            jump = nxt.select(F.col("n").alias("j"), F.col("label").alias("to"))
-            nxt = nxt.join(jump, nxt["label"] == jump["j"]).select("n", "was", F.col("to").alias("label"))
-        nxt = cut(nxt)
-        cur = nxt.select("n", "label")
-        if nxt.filter("was <> label").isEmpty():
-            break
-    return cur.select(F.col("n").alias(node), "label")
+    """(node, label): the smallest node of each component.  Edges with an end outside ``nodes`` do not count.
+
+    Large-star and small-star steps (Kiveris et al., 2014) in turn, until every edge points from a node to a root and
+    no node has two; there is no bound on the rounds, and chains in any order take about log n of them.
+    """
+    own = cut(nodes.select(F.col(node).cast("long").alias("n")))
+    cur = both_ways(edges).filter("a > b").select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).distinct()
+    for end in ("u", "v"):
+        cur = cur.join(own.withColumnRenamed("n", end), end, "left_semi")
+    cur = cut(cur.select("u", "v"))
+    while not stars(cur):
+        both = both_ways(cur, "u", "v")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # large-star: neighbours above a node go to the smallest of the node and its neighbours
+        large = cut(both.filter("b > a").join(low, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct())
+        # small-star: a node and its neighbours below go to the smallest of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        cur = cut(small.filter("u <> v").distinct())
+    return cut(own.join(cur, F.col("n") == F.col("u"), "left").select(F.col("n").alias(node), F.coalesce("v", "n").alias("label")))
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether each node of (u, v) points at one root: no u twice, and no v that is a u."""
+    return edges.groupBy("u").count().filter("count > 1").isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int | None = None, node: str = "n") -> DataFrame:

@@ -14,6 +14,16 @@ def lines(spark, text):
     return spark.createDataFrame([(i, v) for i, v in enumerate(text.split("\n"), 1)], "line_no long, value string")
 
 
+def test_component_of_a_long_chain_with_the_smallest_node_at_its_end(spark):
+    """1, 2, ..., 399 in file order and 0 linked behind 399: one component, however far the smallest node's label has to go."""
+    from contiguum.operators.components import component_labels
+
+    n = 400
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, n - 1)] + [(n - 1, 0), (n + 1, n + 2), (5, 5)], "a long, b long")
+    got = component_labels(spark.range(n + 4).withColumnRenamed("id", "ord"), edges).collect()
+    assert {r.ord: r.label for r in got} == {**dict.fromkeys(range(n), 0), n: n, n + 1: n + 1, n + 2: n + 1, n + 3: n + 3}
+
+
 def test_golden_segments_and_links(tiny):
     seg = [(r.id, r.length_bp, r.coverage) for r in tiny.segments.orderBy("ord").collect()]
     assert seg == [("s1", 100, 5.0), ("s2", 10, 3.5), ("s3", 250, None), ("s4", 40, 80.0), ("s5", 60, None), ("s6", 10, None)]
