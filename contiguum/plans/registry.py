@@ -482,20 +482,21 @@ def bulge_offsets(spark, d):
 
 @query("relax_local")
 def relax_local(spark, d):
+    """One gesture for each port that the edit log moves: it is held where its last move puts it."""
     c = contigs(spark, d)
     pt, links = cut(port_points(c)), po.link_keys(graph(spark, d))
-    gestures = c.filter("ord % 200 = 0").select(F.col("ord").alias("gesture"), F.col("ord").alias("contig"))
+    moves = ed.port_moves(edit_log(spark, d)).join(pt, "key")
+    gestures = moves.select(F.col("key").alias("gesture"), F.shiftright("key", 1).alias("contig"))
     near = po.contig_adjacency(links).select("contig", "neighbor")
     regions = gestures.union(gestures.join(near, "contig").select("gesture", F.col("neighbor").alias("contig"))).distinct()
-    pins = gestures.select("gesture", (F.col("contig") * 2).alias("key")).join(pt, "key").select("gesture", "key", (F.col("x") + 5.0).alias("x"), (F.col("y") + 5.0).alias("y"))
+    pins = moves.select(F.col("key").alias("gesture"), "key", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
     return rx.relax_local(pt, links, po.junctions(links), regions, pins, rb.mean_chord(c).first()[0])
 
 
 @query("scene_bytes")
 def scene_bytes(spark, d):
-    """A small part of the graph as a scene file: size and header."""
+    """The whole graph as a scene file: size and header."""
     g = graph(spark, d)
-    part, _ = g.remove_nodes(g.segments.filter("ord >= 500").select("id"))
-    blob = scene_file.scene_bytes(sc.build_scene(part, sc.grid_positions(part), "bridge"))
+    blob = scene_file.scene_bytes(sc.build_scene(g, sc.grid_positions(g), "bridge"))
     head = scene_file.decode(blob)
     return spark.createDataFrame([(len(blob), len(head["idTable"]), len(head["linkPositions"]))], "bytes long, contigs long, links long")
