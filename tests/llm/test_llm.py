@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import inspect
 import re
 import zlib
 from collections import Counter
@@ -260,6 +261,12 @@ def vectors():
     return rows
 
 
+def test_toxicity_sizes():
+    """The hash space and the training sample that the classifier was written for."""
+    assert toxicity.DIMS == 1 << 20
+    assert all(inspect.signature(f).parameters["sample"].default == 12_000 for f in (toxicity.train, toxicity.toxicity))
+
+
 def test_embedding_links_across_far_cells(spark):
     """24 vectors on a circle in two cells: at the border both are nearer to their own centroid by 0.26, yet link at 0.966."""
     turn = np.arange(24) * np.pi / 12
