@@ -19,12 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, give_back, lean, small_batches
 
 BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 1 << 16  # so that a document's number in its block takes 16 bits
 BLOCK_SCHEMA = "block long, ids binary, sizes binary, texts binary"
-MIX1, MIX2, BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 0x9E3779B97F4A7C15
+MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+PLACES = 32
 NONE = np.iinfo(np.int64).min
 
 
@@ -35,31 +36,48 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_POWERS: dict[str, np.ndarray] = {}
+def letter_table(seed: int) -> np.ndarray:
+    """A random 64-bit number for each place in a word (the first ``PLACES``) and byte value, flat."""
+    return np.random.default_rng(seed).integers(0, 1 << 64, PLACES << 8, dtype=np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64, for i below n."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        for name, b in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            _POWERS[name] = np.cumprod(a, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """Hash of data[start:end] of each (not empty) word: the sum of one random number for each place and letter, and the length.
 
-
-def byte_values(seed: int = 3) -> np.ndarray:
-    """A random odd 64-bit number for each byte value."""
-    return np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def prefix_hash(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P with hash(a..b) = (P[b] - P[a]) * down[a] modulo 2^64, and ``down``."""
-    up, down = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[: len(data)], out=out[1:])
-    return out, down
+    Places from ``PLACES`` on take the numbers of the table again, mixed with how often it has been gone through.  So there
+    are no two words that the form of the sum itself makes equal, as there are for polynomials modulo 2^64.
+    """
+    out = np.empty(len(start), np.uint64)
+    sizes = end - start
+    upto = np.cumsum(sizes)
+    first = 0
+    while first < len(start):  # some hundred thousand letters at a time
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + step, side="right")))
+        size = sizes[first:last]
+        lead = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(lead, size)
+        letter = data[np.repeat(start[first:last], size) + place]
+        value = table[(place & (PLACES - 1)) << 8 | letter]
+        far = np.flatnonzero(place >= PLACES)
+        value[far] = mix(value[far] + (place[far] // PLACES).astype(np.uint64) * MIX1)
+        out[first:last] = np.add.reduceat(value, lead)
+        first = last
+    return mix(out + sizes.astype(np.uint64) * MIX2)
+
+
+def chain_hash(data: bytes, at: np.ndarray, size: int | np.ndarray, most: int) -> np.ndarray:
+    """Hash of the ``size`` (8 to ``most``) bytes from each position: their 8-byte words, the last one reaching to the end, one
+    after the other; shorter strings take their last word again until ``most`` is reached."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)) if len(data) > 7 else np.zeros(0, np.uint64)
+    out = np.empty(len(at), np.uint64)
+    for a in range(0, len(at), 1 << 16):  # small enough to stay in the cache
+        p, z = at[a : a + (1 << 16)], size if np.isscalar(size) else size[a : a + (1 << 16)]
+        h = np.full(len(p), MIX2, np.uint64) * np.asarray(z).astype(np.uint64)
+        for k in range(0, most, 8):
+            h = (h ^ words[p + np.minimum(k, z - 8)]) * MIX1
+            h ^= h >> np.uint64(32)
+        out[a : a + (1 << 16)] = mix(h)
+    return out
 
 
 def build_blocks(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -99,7 +117,7 @@ def build_blocks(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str,
             yield block()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    return scratch.save(src.mapInArrow(run, BLOCK_SCHEMA + ", carry binary" * bool(carry)), "blocks")
+    return scratch.save(src.mapInArrow(lean(run), BLOCK_SCHEMA + ", carry binary" * bool(carry)), "blocks")
 
 
 def open_carry(blob: bytes) -> dict[str, pa.Array]:
@@ -175,9 +193,11 @@ def exchange(blocks: DataFrame, keys_of, bits: int, rule: str, width: int = 8, c
             out |= np.concatenate([np.unpackbits(np.frombuffer(twice[i], np.uint8), count=n).astype(bool) for i, n in zip(order, sizes, strict=True)])
         ends = np.cumsum([0, *sizes])
         found = [np.packbits(out[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        del keys, twice, all_keys, by_key, same, out
+        give_back()
         return pa.table({"block": table.column("block").take(pa.array(order)), "part": table.column("part"), "bits": pa.array(found, pa.binary())})
 
-    out = blocks.select("block", "ids", "sizes", "texts", *columns).mapInArrow(spread, "part int, block long, keys binary, twice binary")
+    out = blocks.select("block", "ids", "sizes", "texts", *columns).mapInArrow(lean(spread), "part int, block long, keys binary, twice binary")
     back = out.groupBy("part").applyInArrow(decide, "block long, part int, bits binary")
     return back.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias(rule))
 

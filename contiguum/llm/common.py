@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -114,6 +115,26 @@ def small_batches(batches, column: str, limit: int = 4 << 20):
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool, and the C heap where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A task's function after which its Python worker, which goes on to other operators, holds no freed memory."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def partitions_for(spark: SparkSession, units: int, per_task: int) -> int:
     """Enough tasks for ``units`` at ``per_task`` each, and never fewer than the session's shuffle setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // per_task))
@@ -176,4 +197,4 @@ def min_label_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: st
     return nodes.union(roots)
 
 
-__all__ = ["Scratch", "Window", "min_label_components", "numbered", "partitions_for", "shared_base", "small_batches", "table", "text_bytes"]
+__all__ = ["Scratch", "Window", "give_back", "lean", "min_label_components", "numbered", "partitions_for", "shared_base", "small_batches", "table", "text_bytes"]

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NONE, bucketed, build_blocks, byte_values, from_planes, mix, open_block, pack_sorted, planes, prefix_hash, rows_of, unpack_sorted
-from .common import Scratch, text_bytes
+from .blocks import NONE, bucketed, build_blocks, from_planes, letter_table, mix, open_block, pack_sorted, planes, rows_of, unpack_sorted, word_hash
+from .common import Scratch, lean, text_bytes
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = b"\n"
-TABLE = byte_values(23)
+TABLE = letter_table(23)
 HALF = np.log(0.5)
 
 
@@ -196,12 +196,11 @@ class Streams:
     def word_runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same for hashes of words; every text has one end."""
         joined = np.frombuffer(b"".join(self.texts), np.uint8)
-        pre, down = prefix_hash(joined, TABLE)
         stop = np.flatnonzero((joined == 32) | (joined == 10))
         start = np.concatenate([[0], stop[:-1] + 1])
         real = stop > start  # nothing stands before the end of a text without words
         start, stop = start[real], stop[real]
-        h = mix((pre[stop] - pre[start]) * down[start] + (stop - start).astype(np.uint64))
+        h = word_hash(joined, start, stop, TABLE)
         doc = np.repeat(np.arange(len(self.texts), dtype=np.uint16), self.n_tokens - 1)
         h = np.concatenate([h, np.repeat(mix(np.array([0xE0D], np.uint64)), len(self.texts))])
         doc = np.concatenate([doc, np.arange(len(self.texts), dtype=np.uint16)])
@@ -265,7 +264,8 @@ def score(docs: DataFrame, depth: int = 7, fold: int = 5, part: int = 1, id_col:
     _, total = text_bytes(docs, text_col)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = build_blocks(scratch, docs, id_col, text_col)
-    blocks = bucketed(scratch, packed, max(least, -(-total // (12 << 20))))
+    buckets = max(least, -(-total // (12 << 20)))
+    blocks = bucketed(scratch, packed, buckets)
     scratch.drop(packed)
     parts = max(least, total // (8 << 20))
 
@@ -294,7 +294,7 @@ def score(docs: DataFrame, depth: int = 7, fold: int = 5, part: int = 1, id_col:
         return pa.Table.from_pylist([row], schema=MERGED)
 
     MERGED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("blocks", pa.list_(pa.int64())), ("at", pa.list_(pa.binary())), ("node", pa.list_(pa.int64())), *((k, pa.list_(pa.float64())) for k in ("below", "zeros", "ones"))])
-    spreaded = blocks.mapInArrow(spread, "kind int, part int, block long, keys binary, counts binary")
+    spreaded = blocks.mapInArrow(lean(spread), "kind int, part int, block long, keys binary, counts binary")
     merged = spreaded.groupBy("kind", "part").applyInArrow(merge, "kind int, part int, keys binary, counts binary, n long, known long, blocks array<long>, at array<binary>, node array<long>, below array<double>, zeros array<double>, ones array<double>")
     merged = scratch.save(merged, "counts")
     tokens, vocabulary = merged.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
@@ -315,8 +315,8 @@ def score(docs: DataFrame, depth: int = 7, fold: int = 5, part: int = 1, id_col:
             for b, at in zip(row["blocks"], row["at"], strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([row["kind"]], pa.int32()), pa.array([row["part"]], pa.int32()), pa.array([planes(value[unpack_sorted(at, np.uint32)])], pa.binary())], names=["block", "kind", "part", "value"])
 
-    back = merged.select("kind", "part", "keys", "counts", "blocks", "at").mapInArrow(answer, "block long, kind int, part int, value binary")
-    back = back.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "value")).alias("back"))
+    back = merged.select("kind", "part", "keys", "counts", "blocks", "at").mapInArrow(lean(answer), "block long, kind int, part int, value binary")
+    back = back.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "part", "value")).alias("back"))
 
     def total_scores(batches):
         for row in rows_of(batches):
@@ -340,4 +340,4 @@ def score(docs: DataFrame, depth: int = 7, fold: int = 5, part: int = 1, id_col:
             yield pa.RecordBatch.from_arrays([ids, pa.array(s.held), pa.array(s.n_tokens), pa.array(known), pa.array(np.full(len(s.sizes), tokens, np.int64)), pa.array(base), pa.array(tree)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     out = blocks.join(back.hint("shuffle_hash"), "block", "left").select("ids", "sizes", "texts", "back")
-    return out.mapInArrow(total_scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.mapInArrow(lean(total_scores), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NONE, build_blocks, byte_values, cut_ranges, mix, open_block, prefix_hash, range_bits, rows_of
-from .common import Scratch, min_label_components, text_bytes
+from .blocks import NONE, build_blocks, cut_ranges, letter_table, mix, open_block, range_bits, rows_of, word_hash
+from .common import Scratch, lean, min_label_components, text_bytes
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-TABLE = byte_values()
+TABLE = letter_table(3)
 STEP = np.random.default_rng(9).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PIECE = 2 << 20
 
@@ -41,9 +41,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     edge[offsets] = True
     start = np.flatnonzero(word & np.concatenate([[True], edge[1:-1] | ~word[:-1]])) if len(data) else np.zeros(0, np.int64)
     end = np.flatnonzero(word & np.concatenate([edge[1:-1] | ~word[1:], [True]])) + 1 if len(data) else start
-    pre, down = prefix_hash(low, TABLE)
-    h = mix((pre[end] - pre[start]) * down[start] + (end - start).astype(np.uint64))
-    return h, np.searchsorted(offsets, start, side="right") - 1
+    return word_hash(low, start, end, TABLE), np.searchsorted(offsets, start, side="right") - 1
 
 
 def shingle_sets(data: bytes, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -129,7 +127,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, round
         back = [np.flatnonzero(mine[a:b] > 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"block": table.column("block"), "part": table.column("part"), "low": pa.array([x[k].tobytes() for x, k in zip(lows, back, strict=True)], pa.binary()), "df": pa.array([mine[a:][k].tobytes() for a, k in zip(ends[:-1], back, strict=True)], pa.binary())})
 
-    spreaded = blocks.mapInArrow(spread, "part int, block long, low binary, n binary")
+    spreaded = blocks.mapInArrow(lean(spread), "part int, block long, low binary, n binary")
     counted = spreaded.groupBy("part").applyInArrow(count, "block long, part int, low binary, df binary")
     known = counted.groupBy("block").agg(F.collect_list(F.struct("part", "low", "df")).alias("known"))
 
@@ -163,7 +161,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, round
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "key", "shingles", "tokens", "pos"])
 
     joined = blocks.join(known, "block", "left").select("ids", "sizes", "texts", "known")
-    rows = scratch.save(joined.mapInArrow(prefixes, "doc_id long, n long, key binary, shingles binary, tokens array<long>, pos array<long>"), "sets")
+    rows = scratch.save(joined.mapInArrow(lean(prefixes), "doc_id long, n long, key binary, shingles binary, tokens array<long>, pos array<long>"), "sets")
     scratch.drop(blocks)
     members = rows.select("doc_id", "n", "key")
     some = rows.filter("shingles is not null and doc_id is not null")
@@ -186,7 +184,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, round
 
         left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
     def could(x: str, y: str):
         """Length and positional filters on two index entries."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import small_batches
+from .common import give_back, small_batches
 
 DIMS = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
@@ -43,8 +43,11 @@ def slots(text: str | None) -> np.ndarray:
 
 def forgetting(batches):
     """The batches of a task; its word cache ends with it, as the worker goes on to other operators."""
-    yield from batches
-    _CACHE.clear()
+    try:
+        yield from batches
+    finally:
+        _CACHE.clear()
+        give_back()
 
 
 class PuClassifier:
