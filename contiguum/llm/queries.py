@@ -76,6 +76,11 @@ e AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id < b.vec_
 nodes AS (SELECT vec_id AS id FROM v), {LINKED}
 SELECT c.id AS vec_id, count(u.b) AS n_links, c.component_id, c.id = c.component_id AS kept FROM comp c LEFT JOIN u ON u.a = c.id GROUP BY ALL"""
 
+OP3_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.x, v.x) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s WHERE score IS NOT NULL AND NOT isnan(score))
+SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 5"""
+
 OP9_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
 x AS (SELECT doc_id, unnest(g) AS g FROM s), n AS (SELECT doc_id AS id, len(g) AS n FROM s),
@@ -87,4 +92,4 @@ SELECT n.id AS doc_id, n.n AS n_shingles, component_id FROM n JOIN comp USING (i
 
 def oracle_sql() -> dict[str, str]:
     """Brute force in SQL, where SQL can say it; the others have brute-force tests."""
-    return {"op2_embed_dedup": OP2_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op2_embed_dedup": OP2_SQL, "op3_ann": OP3_SQL, "op9_jaccard_join": OP9_SQL}
