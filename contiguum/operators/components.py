@@ -13,22 +13,25 @@ def both_ways(edges: DataFrame, a: str = "a", b: str = "b", keep: tuple[str, ...
     return edges.select(F.col(a).alias("a"), F.col(b).alias("b"), *keep).union(edges.select(F.col(b).alias("a"), F.col(a).alias("b"), *keep)).filter("a <> b")
 
 
-def component_labels(nodes: DataFrame, edges: DataFrame, node: str = "ord") -> DataFrame:
-    """(node, label): the smallest node of each component.  Edges with an end outside ``nodes`` do not count.
+def component_labels(nodes: DataFrame, edges: DataFrame, node: str = "ord", closed: bool = False) -> DataFrame:
+    """(node, label): the smallest node of each component.  Edges with an end outside ``nodes`` do not count (``closed``: there are none).
 
     Large-star and small-star steps (Kiveris et al., 2014) in turn, until every edge points from a node to a root and
-    no node has two; there is no bound on the rounds, and chains in any order take about log n of them.
+    no node has two; there is no bound on the rounds, and chains in any order take about log n of them.  A round is one
+    written table of at most as many edges as the one before; minima are pre-aggregated, so hubs are no hot keys.
     """
-    own = cut(nodes.select(F.col(node).cast("long").alias("n")))
-    cur = both_ways(edges).filter("a > b").select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).distinct()
-    for end in ("u", "v"):
-        cur = cur.join(own.withColumnRenamed("n", end), end, "left_semi")
+    own = nodes.select(F.col(node).cast("long").alias("n"))
+    cur = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
+    if not closed:
+        own = cut(own)
+        for end in ("u", "v"):
+            cur = cur.join(own.withColumnRenamed("n", end), end, "left_semi")
     cur = cut(cur.select("u", "v"))
     while not stars(cur):
+        # large-star: neighbours above a node go to the smallest of the node and its neighbours
         both = both_ways(cur, "u", "v")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large-star: neighbours above a node go to the smallest of the node and its neighbours
-        large = cut(both.filter("b > a").join(low, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
         # small-star: a node and its neighbours below go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
@@ -38,24 +41,32 @@ def component_labels(nodes: DataFrame, edges: DataFrame, node: str = "ord") -> D
 
 def stars(edges: DataFrame) -> bool:
     """Whether each node of (u, v) points at one root: no u twice, and no v that is a u."""
-    return edges.groupBy("u").count().filter("count > 1").isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e")).select("e.n", "e.up")
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.min("up").alias("root")).filter("up > 1 OR (up = 1 AND root = 0)").isEmpty()
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int | None = None, node: str = "n") -> DataFrame:
-    """Breadth-first search from all seeds: (node, hops, parent); the parent is the smallest on the previous ring, null for seeds."""
+    """Breadth-first search from all seeds: (node, hops, parent); the parent is the smallest on the previous ring, null for seeds.
+
+    A neighbour of a ring is on that ring, the one before or the next, so only these are compared: the search reads and
+    writes each ring once, however many rings there are.
+    """
     pairs = cut(both_ways(edges).distinct())
-    ring = seeds.select(F.col(node).cast("long").alias("n")).distinct().withColumn("hops", F.lit(0)).withColumn("parent", F.lit(None).cast("long"))
-    seen = ring = cut(ring)
+    ring = cut(seeds.select(F.col(node).cast("long").alias("n")).distinct().withColumn("hops", F.lit(0)).withColumn("parent", F.lit(None).cast("long")))
+    rings, before = [ring], ring.select("n").limit(0)
     d = 0
     while depth is None or d < depth:
         d += 1
         new = pairs.join(ring.select(F.col("n").alias("a")), "a").groupBy("b").agg(F.min("a").alias("parent"))
-        new = new.join(seen.select(F.col("n").alias("b")), "b", "left_anti")
-        ring = cut(new.select(F.col("b").alias("n"), F.lit(d).alias("hops"), "parent"))
+        new = new.join(before.union(ring.select("n")).select(F.col("n").alias("b")), "b", "left_anti")
+        before, ring = ring.select("n"), cut(new.select(F.col("b").alias("n"), F.lit(d).alias("hops"), "parent"))
         if ring.isEmpty():
             break
-        seen = cut(seen.union(ring))
-    return seen.withColumnRenamed("n", node)
+        rings.append(ring)
+    out = rings[0]
+    for r in rings[1:]:
+        out = out.union(r)
+    return out.withColumnRenamed("n", node)
 
 
 def shortest_paths(edges: DataFrame, source: int, node: str = "n") -> DataFrame:

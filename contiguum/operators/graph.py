@@ -112,7 +112,7 @@ class AssemblyGraph:
     @cached_property
     def components(self) -> DataFrame:
         """(ord, id, cid): components are numbered by their first segment."""
-        labels = component_labels(self.segments, self.edges_by_ord())
+        labels = component_labels(self.segments, self.edges_by_ord(), closed=True)
         roots = labels.filter("ord = label").select("label")
         # one row for each component; ranks by a range sort, not in one task
         cids = numbered(roots, [F.col("label")], "cid")

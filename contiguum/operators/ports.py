@@ -40,7 +40,7 @@ def link_keys(g: AssemblyGraph) -> DataFrame:
 def junctions(links: DataFrame) -> DataFrame:
     """(port, junction): ports joined by links, numbered by their first port.  Ports without links are in none."""
     ports = links.select(F.explode(F.array("a", "b")).alias("port")).distinct()
-    labels = component_labels(ports, links, "port")
+    labels = component_labels(ports, links, "port", closed=True)
     ids = numbered(labels.filter("port = label").select("label"), [F.col("label")], "junction")
     return cut(labels.join(ids, "label").select("port", "junction"))
 

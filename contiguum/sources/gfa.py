@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import EdgeExists, GFAParseError, InvalidEdgeEndpoint, NodeExists
 from ..functions import gfa as fn
 from ..operators.graph import AssemblyGraph
-from ..operators.lineage import numbered
+from ..operators.lineage import cut, numbered
 from ..shipping import ship
 
 #: The characters that Python's str.strip() removes.
@@ -28,24 +28,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered(at, [F.col("f"), F.col("b"), F.col("m")], "line_no").select((F.col("line_no") + 1).alias("line_no"), "value")
 
 
-def fields(lines: DataFrame, record: str) -> DataFrame:
-    return gfa_lines(lines).withColumn("f", F.split("value", "\t")).filter(F.element_at("f", 1) == record)
-
-
-def well_formed_segments(lines: DataFrame) -> DataFrame:
-    f = F.col("f")
-    rows = fields(lines, "S").filter(F.size(f) >= 3)
-    tags = fn.parse_tags(F.slice(f, 4, F.greatest(F.size(f) - 3, F.lit(0))))
-    rows = rows.select("line_no", f[1].alias("id"), f[2].alias("sequence"), tags.alias("tags"))
-    return rows.select("line_no", "id", fn.segment_length(F.col("tags"), F.col("sequence")).alias("length_bp"), fn.coverage(F.col("tags")).alias("coverage"), "tags")
-
-
-def well_formed_links(lines: DataFrame) -> DataFrame:
-    f = F.col("f")
-    rows = fields(lines, "L").filter((F.size(f) >= 6) & f[2].isin("+", "-") & f[4].isin("+", "-"))
-    start, end = fn.link_endpoints(f[1], f[2], f[3], f[4])
-    tags = fn.parse_tags(F.slice(f, 7, F.greatest(F.size(f) - 6, F.lit(0))))
-    return rows.select("line_no", start.alias("start"), end.alias("end"), f[5].alias("overlap"), tags.alias("tags"))
+def parsed(lines: DataFrame) -> DataFrame:
+    """S and L lines, split once and typed: record, line_no, what is wrong with the line's own form (or null), and the columns of its record."""
+    f, n = F.col("f"), F.size("f")
+    rows = gfa_lines(lines).withColumn("f", F.split("value", "\t")).withColumn("record", F.element_at("f", 1)).filter(F.col("record").isin("S", "L"))
+    is_s = F.col("record") == "S"
+    turns = F.coalesce(F.get(f, 2).isin("+", "-") & F.get(f, 4).isin("+", "-"), F.lit(False))
+    fault = F.when(is_s & (n < 3), "invalid S record").when(~is_s & (n < 6), "invalid L record").when(~is_s & ~turns, "invalid orientation in L record")
+    skip = F.when(is_s, 3).otherwise(6)
+    rows = rows.withColumn("fault", fault).withColumn("tags", fn.parse_tags(F.slice(f, skip + 1, F.greatest(n - skip, F.lit(0)))))
+    start, end = fn.link_endpoints(F.get(f, 1), F.get(f, 2), F.get(f, 3), F.get(f, 4))
+    of = lambda cond, c: F.when(F.col("fault").isNull() & cond, c)
+    return rows.select(
+        "record", "line_no", "fault",
+        of(is_s, F.get(f, 1)).alias("id"), of(is_s, fn.segment_length(F.col("tags"), F.get(f, 2))).alias("length_bp"), of(is_s, fn.coverage(F.col("tags"))).alias("coverage"),
+        of(~is_s, start).alias("start"), of(~is_s, end).alias("end"), of(~is_s, F.get(f, 5)).alias("overlap"), "tags",
+    )
 
 
 def record_counts(lines: DataFrame) -> DataFrame:
@@ -54,37 +52,41 @@ def record_counts(lines: DataFrame) -> DataFrame:
 
 def violations(lines: DataFrame) -> DataFrame:
     """Every line that strict parsing stops at: (line_no, kind, detail)."""
-    f, n = F.col("f"), F.size("f")
-    bad_s = fields(lines, "S").filter(n < 3).select("line_no", F.lit("GFAParseError").alias("kind"), F.concat(F.lit("GFA parse error at line "), F.col("line_no").cast("string"), F.lit(": invalid S record")).alias("detail"))
-    short_l = n < 6
-    why = F.when(short_l, "invalid L record").otherwise("invalid orientation in L record")
-    bad_l = fields(lines, "L").filter(short_l | ~F.coalesce(F.get(f, 2).isin("+", "-") & F.get(f, 4).isin("+", "-"), F.lit(False)))
-    bad_l = bad_l.select("line_no", F.lit("GFAParseError").alias("kind"), F.concat(F.lit("GFA parse error at line "), F.col("line_no").cast("string"), F.lit(": "), why).alias("detail"))
-    seg = well_formed_segments(lines).select("line_no", "id")
+    return violations_of(parsed(lines))
+
+
+def violations_of(rows: DataFrame) -> DataFrame:
+    """The same from lines that are parsed: ill-formed lines, segments named twice, links that stand before or without their segments."""
+    at = F.concat(F.lit("GFA parse error at line "), F.col("line_no").cast("string"), F.lit(": "), F.col("fault"))
+    bad = rows.filter("fault IS NOT NULL").select("line_no", F.lit("GFAParseError").alias("kind"), at.alias("detail"))
+    good = rows.filter("fault IS NULL")
+    seg = good.filter("record = 'S'").select("line_no", "id")
     first = seg.groupBy("id").agg(F.min("line_no").alias("first"))
     twice = seg.join(first, "id").filter("line_no > first").select("line_no", F.lit("NodeExists").alias("kind"), F.col("id").alias("detail"))
-    ends = well_formed_links(lines).select("line_no", F.explode(F.array("start.node_id", "end.node_id")).alias("id"))
+    ends = good.filter("record = 'L'").select("line_no", F.explode(F.array("start.node_id", "end.node_id")).alias("id"))
     loose = ends.join(first, "id", "left").filter(F.col("first").isNull() | (F.col("first") > F.col("line_no")))
     loose = loose.groupBy("line_no").agg(F.min("id").alias("detail")).select("line_no", F.lit("InvalidEdgeEndpoint").alias("kind"), "detail")
-    return bad_s.union(bad_l).union(twice).union(loose)
+    return bad.union(twice).union(loose)
 
 
 def graph_from_lines(lines: DataFrame, mode: str = "FAILFAST") -> AssemblyGraph:
-    """Parse numbered lines.  FAILFAST raises the error of the first bad line; PERMISSIVE leaves bad lines out."""
+    """Parse numbered lines.  FAILFAST raises the error of the first bad line; PERMISSIVE leaves bad lines out.
+
+    The text is read once: its typed records are range-sorted by record and line and written, and all else comes from that table.
+    """
     ship(lines.sparkSession)
-    bad = violations(lines)
+    rows = parsed(lines)
     if mode == "FAILFAST":
-        first = bad.orderBy("line_no", "kind").limit(1).collect()
+        rows = numbered(rows, [F.col("line_no")], group="record")
+        first = violations_of(rows).orderBy("line_no", "kind").limit(1).collect()
         if first:
             kinds = {k.__name__: k for k in (GFAParseError, NodeExists, EdgeExists, InvalidEdgeEndpoint)}
             raise kinds[first[0]["kind"]](first[0]["detail"])
-    seg, link = well_formed_segments(lines), well_formed_links(lines)
-    if mode != "FAILFAST":
-        skip = bad.select("line_no").distinct()
-        seg, link = seg.join(skip, "line_no", "left_anti"), link.join(skip, "line_no", "left_anti")
-    seg = numbered(seg, [F.col("line_no")]).select("ord", "id", "length_bp", "coverage", "tags")
-    link = numbered(link, [F.col("line_no")])
-    link = link.select("ord", fn.edge_id(F.col("ord"), F.col("start"), F.col("end")).alias("id"), "start", "end", "overlap", "tags")
+    else:
+        rows = cut(rows)
+        rows = numbered(rows.join(violations_of(rows).select("line_no").distinct(), "line_no", "left_anti"), [F.col("line_no")], group="record")
+    seg = rows.filter("record = 'S'").select("ord", "id", "length_bp", "coverage", "tags")
+    link = rows.filter("record = 'L'").select("ord", fn.edge_id(F.col("ord"), F.col("start"), F.col("end")).alias("id"), "start", "end", "overlap", "tags")
     return AssemblyGraph(seg, link)
 
 
