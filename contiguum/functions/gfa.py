@@ -18,10 +18,12 @@ LARGE_FILE = 500 * 1024 * 1024
 
 def parse_tags(fields: Column) -> Column:
     """``TAG:TYPE:VALUE`` fields to a map from tag to ``TYPE:VALUE``; malformed fields are skipped, the last of equal tags wins."""
-    good = F.filter(fields, lambda f: F.size(F.split(f, ":")) >= 3)
+    good = F.filter(fields, lambda f: f.like("%:%:%"))
     name = lambda f: F.substring_index(f, ":", 1)
+    paired = lambda fs: F.map_from_arrays(F.transform(fs, name), F.transform(fs, lambda f: F.substring(f, F.instr(f, ":") + 1, F.length(f))))
     last = F.filter(good, lambda f, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda g: name(g) == name(f)))
-    return F.map_from_arrays(F.transform(last, name), F.transform(last, lambda f: F.substring(f, F.instr(f, ":") + 1, F.length(f))))
+    names = F.transform(good, name)
+    return F.when(F.size(F.array_distinct(names)) < F.size(names), paired(last)).otherwise(paired(good))
 
 
 def _typed(tags: Column, key: str, types: tuple[str, ...]) -> Column:

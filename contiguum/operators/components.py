@@ -2,31 +2,77 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .lineage import cut
 
+CHUNK = 4_000_000  # edges that a task holds at once
+
 
 def both_ways(edges: DataFrame, a: str = "a", b: str = "b", keep: tuple[str, ...] = ()) -> DataFrame:
     """Each undirected edge in both directions, without self-loops."""
     return edges.select(F.col(a).alias("a"), F.col(b).alias("b"), *keep).union(edges.select(F.col(b).alias("a"), F.col(a).alias("b"), *keep)).filter("a <> b")
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of some edges, but the smallest of its component among them, with that smallest one."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = np.arange(len(names))
+    a, b = at[: len(u)], at[len(u) :]
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            below = np.flatnonzero(root != np.arange(len(names)))
+            return names[below], names[root[below]]
+        np.minimum.at(root, np.maximum(x, y)[open_], np.minimum(x, y)[open_])  # larger roots go below smaller ones
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with those of each partition, some millions at a time, replaced by the stars of their components."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def star():
+            t = pa.Table.from_batches(held)
+            up, down = forest(t.column("u").to_numpy(), t.column("v").to_numpy())
+            return pa.RecordBatch.from_arrays([pa.array(up), pa.array(down)], names=["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK:
+                yield star()
+                held, size = [], 0
+        if size:
+            yield star()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def component_labels(nodes: DataFrame, edges: DataFrame, node: str = "ord", closed: bool = False) -> DataFrame:
     """(node, label): the smallest node of each component.  Edges with an end outside ``nodes`` do not count (``closed``: there are none).
 
     Large-star and small-star steps (Kiveris et al., 2014) in turn, until every edge points from a node to a root and
-    no node has two; there is no bound on the rounds, and chains in any order take about log n of them.  A round is one
-    written table of at most as many edges as the one before; minima are pre-aggregated, so hubs are no hot keys.
+    no node has two; there is no bound on the rounds, and chains in any order take about log n of them.  Before the first round and
+    after each, a partition's edges are contracted where they are.  A round is one written table of at most as many edges as
+    the one before; minima are pre-aggregated, so hubs are no hot keys.
     """
+    ship(edges.sparkSession)
     own = nodes.select(F.col(node).cast("long").alias("n"))
     cur = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
     if not closed:
         own = cut(own)
         for end in ("u", "v"):
             cur = cur.join(own.withColumnRenamed("n", end), end, "left_semi")
-    cur = cut(cur.select("u", "v"))
+    cur = cut(contracted(cur.select("u", "v")))
     while not stars(cur):
         # large-star: neighbours above a node go to the smallest of the node and its neighbours
         both = both_ways(cur, "u", "v")
@@ -35,7 +81,7 @@ def component_labels(nodes: DataFrame, edges: DataFrame, node: str = "ord", clos
         # small-star: a node and its neighbours below go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        cur = cut(small.filter("u <> v").distinct())
+        cur = cut(contracted(small.filter("u <> v").distinct()))
     return cut(own.join(cur, F.col("n") == F.col("u"), "left").select(F.col("n").alias(node), F.coalesce("v", "n").alias("label")))
 
 

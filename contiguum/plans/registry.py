@@ -26,8 +26,7 @@ def graph(spark: SparkSession, sf_dir: str) -> AssemblyGraph:
     """The bridge graph of a directory, parsed once for each application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _GRAPHS:
-        g = bridge.bridge_graph(spark, sf_dir)
-        _GRAPHS[key] = AssemblyGraph(cut(g.segments), cut(g.links))
+        _GRAPHS[key] = bridge.bridge_graph(spark, sf_dir)
     return _GRAPHS[key]
 
 

@@ -28,10 +28,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered(at, [F.col("f"), F.col("b"), F.col("m")], "line_no").select((F.col("line_no") + 1).alias("line_no"), "value")
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """S and L lines, split once and typed: record, line_no, what is wrong with the line's own form (or null), and the columns of its record."""
+def records(lines: DataFrame) -> DataFrame:
+    """S and L lines as text: (line_no, value, record)."""
+    return gfa_lines(lines).withColumn("record", F.substring_index("value", "\t", 1)).filter(F.col("record").isin("S", "L"))
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """Records, split once and typed: what is wrong with the line's own form (or null), and the columns of its record."""
     f, n = F.col("f"), F.size("f")
-    rows = gfa_lines(lines).withColumn("f", F.split("value", "\t")).withColumn("record", F.element_at("f", 1)).filter(F.col("record").isin("S", "L"))
+    own = [c for c in rows.columns if c != "value"]
+    rows = rows.withColumn("f", F.split("value", "\t"))
     is_s = F.col("record") == "S"
     turns = F.coalesce(F.get(f, 2).isin("+", "-") & F.get(f, 4).isin("+", "-"), F.lit(False))
     fault = F.when(is_s & (n < 3), "invalid S record").when(~is_s & (n < 6), "invalid L record").when(~is_s & ~turns, "invalid orientation in L record")
@@ -40,7 +46,7 @@ def parsed(lines: DataFrame) -> DataFrame:
     start, end = fn.link_endpoints(F.get(f, 1), F.get(f, 2), F.get(f, 3), F.get(f, 4))
     of = lambda cond, c: F.when(F.col("fault").isNull() & cond, c)
     return rows.select(
-        "record", "line_no", "fault",
+        *own, "fault",
         of(is_s, F.get(f, 1)).alias("id"), of(is_s, fn.segment_length(F.col("tags"), F.get(f, 2))).alias("length_bp"), of(is_s, fn.coverage(F.col("tags"))).alias("coverage"),
         of(~is_s, start).alias("start"), of(~is_s, end).alias("end"), of(~is_s, F.get(f, 5)).alias("overlap"), "tags",
     )
@@ -52,7 +58,7 @@ def record_counts(lines: DataFrame) -> DataFrame:
 
 def violations(lines: DataFrame) -> DataFrame:
     """Every line that strict parsing stops at: (line_no, kind, detail)."""
-    return violations_of(parsed(lines))
+    return violations_of(cut(parsed(records(lines))))
 
 
 def violations_of(rows: DataFrame) -> DataFrame:
@@ -72,19 +78,18 @@ def violations_of(rows: DataFrame) -> DataFrame:
 def graph_from_lines(lines: DataFrame, mode: str = "FAILFAST") -> AssemblyGraph:
     """Parse numbered lines.  FAILFAST raises the error of the first bad line; PERMISSIVE leaves bad lines out.
 
-    The text is read once: its typed records are range-sorted by record and line and written, and all else comes from that table.
+    The text is read and sorted once, by record and line; it is parsed from there, and all else comes from the typed table.
     """
     ship(lines.sparkSession)
-    rows = parsed(lines)
+    rows = cut(parsed(numbered(records(lines), [F.col("line_no")], group="record")))
+    bad = violations_of(rows)
     if mode == "FAILFAST":
-        rows = numbered(rows, [F.col("line_no")], group="record")
-        first = violations_of(rows).orderBy("line_no", "kind").limit(1).collect()
+        first = bad.orderBy("line_no", "kind").limit(1).collect()
         if first:
             kinds = {k.__name__: k for k in (GFAParseError, NodeExists, EdgeExists, InvalidEdgeEndpoint)}
             raise kinds[first[0]["kind"]](first[0]["detail"])
     else:
-        rows = cut(rows)
-        rows = numbered(rows.join(violations_of(rows).select("line_no").distinct(), "line_no", "left_anti"), [F.col("line_no")], group="record")
+        rows = numbered(rows.drop("ord").join(bad.select("line_no").distinct(), "line_no", "left_anti"), [F.col("line_no")], group="record")
     seg = rows.filter("record = 'S'").select("ord", "id", "length_bp", "coverage", "tags")
     link = rows.filter("record = 'L'").select("ord", fn.edge_id(F.col("ord"), F.col("start"), F.col("end")).alias("id"), "start", "end", "overlap", "tags")
     return AssemblyGraph(seg, link)
