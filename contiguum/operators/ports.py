@@ -45,6 +45,24 @@ def junctions(links: DataFrame) -> DataFrame:
     return cut(labels.join(ids, "label").select("port", "junction"))
 
 
+def canonical_pairs(links: DataFrame) -> DataFrame:
+    """(a, b, ord): each pair of different ends once, smaller first, with the first of its links."""
+    return links.filter("a <> b").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("ord").alias("ord")).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "ord")
+
+
+def junction_directions(junctions_: DataFrame, ports: DataFrame) -> DataFrame:
+    """(junction, n, mx, my): how many ports meet, and the mean of the unit vectors along their contigs, away from the junction.
+
+    ports (key, x, y) with key = 2 * contig + side.  A contig of no length counts as a zero vector.
+    """
+    near = ports.select(F.col("key").alias("port"), "x", "y")
+    far = ports.select(F.col("key").bitwiseXOR(F.lit(1).cast("long")).alias("port"), F.col("x").alias("fx"), F.col("y").alias("fy"))
+    dx, dy = F.col("fx") - F.col("x"), F.col("fy") - F.col("y")
+    size = F.sqrt(dx * dx + dy * dy)
+    unit = lambda v: F.avg(F.when(size > 0, v / size).otherwise(0.0))
+    return junctions_.join(near, "port").join(far, "port").groupBy("junction").agg(F.count(F.lit(1)).alias("n"), unit(dx).alias("mx"), unit(dy).alias("my"))
+
+
 def contig_adjacency(links: DataFrame) -> DataFrame:
     """(contig, neighbor, link): both directions of links between different contigs; parallel links stay."""
     a, b = F.shiftright("a", 1), F.shiftright("b", 1)

@@ -59,10 +59,17 @@ def scene_links(g: AssemblyGraph, positions: DataFrame) -> DataFrame:
     return link_positions(link_keys(g), pos)
 
 
-def link_positions(links: DataFrame, ports: DataFrame) -> DataFrame:
-    """Links (ord, a, b) between node keys, drawn from port positions (key, x, y)."""
+def link_positions(links: DataFrame, ports: DataFrame, baked: DataFrame | None = None) -> DataFrame:
+    """Links (ord, a, b) between node keys, drawn from port positions (key, x, y).
+
+    With ``baked`` (ord, x0, y0, x1, y1), an end whose port has no position stands where the scene's file has it; without, such links are left out.
+    """
     ends = lambda k, n: ports.select(F.col("key").alias(k), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
-    rows = links.join(ends("a", 0), "a").join(ends("b", 1), "b")
+    how = "inner" if baked is None else "left"
+    rows = links.join(ends("a", 0), "a", how).join(ends("b", 1), "b", how)
+    if baked is not None:
+        old = [f"{c}{n}" for n in (0, 1) for c in "xy"]
+        rows = rows.join(baked.select("ord", *(F.col(c).alias(f"old_{c}") for c in old)), "ord", "left").select("ord", "a", "b", *(F.coalesce(c, f"old_{c}").alias(c) for c in old))
     half, low = lambda c: F.shiftright(c, 1), lambda c: F.col(c) % 2
     return rows.select("ord", "x0", "y0", "x1", "y1", half("a").alias("contig_a"), low("a").alias("side_a"), half("b").alias("contig_b"), low("b").alias("side_b"))
 

@@ -153,10 +153,12 @@ def violations(spark, d):
     return gfa.violations(lines(spark, d).union(more))
 
 
-@query("synthetic_ribbons", """i AS (SELECT unnest(range(2000)) AS ord) SELECT ord, (ord % 45) * 20.0::DOUBLE AS in_x, (ord // 45) * 20.0::DOUBLE AS in_y, (1 + ord % 8)::DOUBLE AS width,
- (60 + (ord * 53) % 195)::INTEGER AS r, (60 + (ord * 97) % 195)::INTEGER AS g, (60 + (ord * 29) % 195)::INTEGER AS b, 255 AS a FROM i""")
+@query("synthetic_ribbons", """i AS (SELECT unnest(range(2000)) AS ord), n AS (SELECT ord, sin(ord * 12.9898::DOUBLE) * 43758.5453::DOUBLE AS p, sin(ord * 78.233::DOUBLE) * 12345.678::DOUBLE AS q FROM i),
+m AS (SELECT ord, (p - floor(p)) * 2 * pi() AS turn, 6 + (q - floor(q)) * 12 AS size FROM n)
+SELECT ord, (ord % 45) * 20.0::DOUBLE AS in_x, (ord // 45) * 20.0::DOUBLE AS in_y, round(((ord % 45) * 20.0::DOUBLE + cos(turn) * size)::FLOAT::DOUBLE, 2) AS out_x, round(((ord // 45) * 20.0::DOUBLE + sin(turn) * size)::FLOAT::DOUBLE, 2) AS out_y, (1 + ord % 8)::DOUBLE AS width,
+ (60 + (ord * 53) % 195)::INTEGER AS r, (60 + (ord * 97) % 195)::INTEGER AS g, (60 + (ord * 29) % 195)::INTEGER AS b, 255 AS a FROM m""")
 def synthetic_ribbons(spark, d):
-    return scene_file.synthetic_ribbons(spark, 2000).select("ord", *(F.col(c).cast("double").alias(c) for c in ("in_x", "in_y", "width")), *(F.col(c).cast("int").alias(c) for c in "rgba"))
+    return scene_file.synthetic_ribbons(spark, 2000).select("ord", *(F.col(c).cast("double").alias(c) for c in ("in_x", "in_y", "width")), *(F.round(F.col(c).cast("double"), 2).alias(c) for c in ("out_x", "out_y")), *(F.col(c).cast("int").alias(c) for c in "rgba"))
 
 
 @query("format_size", """{SEG}, b AS (SELECT ord, length_bp * length_bp * 1500 AS size_bytes FROM seg) SELECT ord, size_bytes, CASE WHEN size_bytes >= 1073741824 THEN concat(printf('%.1f', size_bytes / 1073741824.0), ' GB')
@@ -210,12 +212,12 @@ def neighbors(spark, d):
 
 @query("contig_search", "{SEG} SELECT min(ord) AS ord FROM seg WHERE id = 's7'")
 def contig_search(spark, d):
-    return graph(spark, d).segments.filter(F.col("id") == F.trim(F.lit(" s7 "))).agg(F.min("ord").alias("ord"))
+    return spark.createDataFrame([(graph(spark, d).search(" s7 "),)], "ord long")
 
 
 @query("canonical_pairs", "{LK}, p AS (SELECT least(f, t) AS a, greatest(f, t) AS b, min(ord) AS ord FROM e WHERE f <> t GROUP BY ALL) SELECT a, b, ord FROM p")
 def canonical_pairs(spark, d):
-    return graph(spark, d).edges_by_ord().filter("a <> b").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("ord").alias("ord")).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "ord")
+    return po.canonical_pairs(graph(spark, d).edges_by_ord())
 
 
 # edits of the graph
@@ -292,12 +294,8 @@ def junctions(spark, d):
 @query("junction_direction", "{SEG}, {LK}, {CON}, {PT}, " + JN + """, d AS (SELECT junction, q.x - p.x AS dx, q.y - p.y AS dy FROM jn JOIN pt p ON p.k = port JOIN pt q ON q.k = xor(port, 1))
 SELECT junction, count(*) AS n, round(avg(dx / sqrt(dx * dx + dy * dy)), 6) AS mx, round(avg(dy / sqrt(dx * dx + dy * dy)), 6) AS my FROM d GROUP BY junction HAVING count(*) > 1""")
 def junction_direction(spark, d):
-    pt, jn = port_points(contigs(spark, d)), po.junctions(po.link_keys(graph(spark, d)))
-    far = pt.select(F.col("key").bitwiseXOR(F.lit(1).cast("long")).alias("port"), F.col("x").alias("fx"), F.col("y").alias("fy"))
-    rows = jn.join(pt.withColumnRenamed("key", "port"), "port").join(far, "port")
-    dx, dy = F.col("fx") - F.col("x"), F.col("fy") - F.col("y")
-    size = F.sqrt(dx * dx + dy * dy)
-    return rows.groupBy("junction").agg(F.count(F.lit(1)).alias("n"), F.avg(dx / size).alias("mx"), F.avg(dy / size).alias("my")).filter("n > 1").select("junction", "n", *r6("mx", "my"))
+    rows = po.junction_directions(po.junctions(po.link_keys(graph(spark, d))), port_points(contigs(spark, d)))
+    return rows.filter("n > 1").select("junction", "n", *r6("mx", "my"))
 
 
 @query("contig_adjacency", "{LK} SELECT f AS contig, t AS neighbor, ord AS link FROM e WHERE f <> t UNION ALL SELECT t, f, ord FROM e WHERE f <> t")
@@ -349,14 +347,31 @@ def shortest_path(spark, d):
 # scenes and ribbons
 
 
-@query("scene_contigs", """{SEG}, {LK}, {COMP} SELECT seg.ord, seg.id, comp.cid % 20 AS color, round(((seg.ord % 100) * 20.0::DOUBLE)::FLOAT::DOUBLE, 3) AS in_x, round(((seg.ord // 100) * 20.0::DOUBLE)::FLOAT::DOUBLE, 3) AS in_y,
+SCENE_CONTIGS = """{SEG}, {LK}, {COMP} SELECT seg.ord, seg.id, comp.cid % 20 AS color, round(((seg.ord % 100) * 20.0::DOUBLE)::FLOAT::DOUBLE, 3) AS in_x, round(((seg.ord // 100) * 20.0::DOUBLE)::FLOAT::DOUBLE, 3) AS in_y,
  round(((seg.ord % 100) * 20.0::DOUBLE + 1.0::DOUBLE + 0.6::DOUBLE * sqrt(length_bp::DOUBLE))::FLOAT::DOUBLE, 3) AS out_x,
- round((CASE WHEN coverage IS NULL OR coverage <= 0 THEN 2.0::DOUBLE ELSE greatest(1.0::DOUBLE, least(12.0::DOUBLE, 1.0::DOUBLE + 1.5::DOUBLE * sqrt(coverage))) END)::FLOAT::DOUBLE, 3) AS width FROM seg JOIN comp USING (ord)""")
+ round(((seg.ord // 100) * 20.0::DOUBLE)::FLOAT::DOUBLE, 3) AS out_y,
+ round((CASE WHEN coverage IS NULL OR coverage <= 0 THEN 2.0::DOUBLE ELSE greatest(1.0::DOUBLE, least(12.0::DOUBLE, 1.0::DOUBLE + 1.5::DOUBLE * sqrt(coverage))) END)::FLOAT::DOUBLE, 3) AS width FROM seg JOIN comp USING (ord)"""
+
+
+def contig_rows(rows: DataFrame) -> DataFrame:
+    at = F.array_position(F.array(*(F.lit(c[0] * 1000 + c[1]) for c in fn.PALETTE)), F.col("r").cast("int") * 1000 + F.col("g").cast("int")) - 1
+    return rows.select("ord", "id", at.cast("long").alias("color"), *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("in_x", "in_y", "out_x", "out_y", "width")))
+
+
+@query("scene_contigs", SCENE_CONTIGS)
 def scene_contigs(spark, d):
     g = graph(spark, d)
-    rows = sc.scene_contigs(g, sc.grid_positions(g))
-    at = F.array_position(F.array(*(F.lit(c[0] * 1000 + c[1]) for c in fn.PALETTE)), F.col("r").cast("int") * 1000 + F.col("g").cast("int")) - 1
-    return rows.select("ord", "id", at.cast("long").alias("color"), *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("in_x", "in_y", "out_x", "width")))
+    return contig_rows(sc.scene_contigs(g, sc.grid_positions(g)))
+
+
+@query("scene_roundtrip", SCENE_CONTIGS)
+def scene_roundtrip(spark, d):
+    """The same columns after the whole scene went through a file's bytes."""
+    g = graph(spark, d)
+    scene = scene_file.decode(scene_file.scene_bytes(sc.build_scene(g, sc.grid_positions(g), "bridge")))
+    rows = zip(scene["idTable"], scene["contigPositions"].tolist(), scene["contigWidth"].tolist(), scene["contigColor"].tolist(), strict=True)
+    back = [(i, name, *at, *wide, *color) for i, (name, at, wide, color) in enumerate(rows)]
+    return contig_rows(spark.createDataFrame(back, "ord long, id string, in_x double, in_y double, out_x double, out_y double, width double, r int, g int, b int, a int"))
 
 
 @query("scene_links", """{SEG}, {LK}, g AS (SELECT ord * 2 AS k, (ord % 100) * 20.0::DOUBLE AS x, (ord // 100) * 20.0::DOUBLE AS y FROM seg UNION ALL SELECT ord * 2 + 1, (ord % 100) * 20.0::DOUBLE + 1.0::DOUBLE + 0.6::DOUBLE * sqrt(length_bp::DOUBLE), (ord // 100) * 20.0::DOUBLE FROM seg)
@@ -367,11 +382,11 @@ def scene_links(spark, d):
     return rows.select("ord", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("x0", "y0", "x1", "y1")), "contig_a", F.col("side_a").cast("long").alias("side_a"), "contig_b", F.col("side_b").cast("long").alias("side_b"))
 
 
-@query("scene_bbox", "{SEG}, {CON} SELECT min(in_x) AS min_x, min(in_y) AS min_y, greatest(round(max(out_x), 6), 5000.0::DOUBLE) AS max_x, max(in_y) AS max_y FROM con")
+@query("scene_bbox", "{SEG}, {CON}, p AS (SELECT CASE WHEN ord = 0 THEN -50.0::DOUBLE ELSE in_x END AS x, CASE WHEN ord = 0 THEN -7.0::DOUBLE ELSE in_y END AS y FROM con UNION ALL SELECT out_x, in_y FROM con UNION ALL SELECT 5000.0::DOUBLE, 0.0::DOUBLE) SELECT round(min(x), 6) AS min_x, round(min(y), 6) AS min_y, round(max(x), 6) AS max_x, round(max(y), 6) AS max_y FROM p")
 def scene_bbox(spark, d):
-    """An override of an unknown port still widens the box."""
+    """An override replaces a port's position, and one of an unknown port still widens the box."""
     g = graph(spark, d)
-    over = spark.createDataFrame([("ghost:IN", 5000.0, 0.0)], "port_id string, x double, y double")
+    over = spark.createDataFrame([("ghost:IN", 5000.0, 0.0), ("s0:IN", -50.0, -7.0)], "port_id string, x double, y double")
     return sc.bounding_box(sc.merged_positions(sc.grid_positions(g), over)).select(*r6("min_x", "min_y", "max_x", "max_y"))
 
 
@@ -428,9 +443,11 @@ def grab_zone(spark, d):
     return c.withColumn("px", px).withColumn("py", F.col("in_y") + 0.75).select("ord", rb.grab_zone().alias("zone"), rb.nearest_side().alias("side"))
 
 
-@query("pinned_rests", "{SEG}, {LK}, {CON}, {PT} SELECT ord AS link, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 5) AS rest FROM e JOIN pt p ON p.k = f * 2 + fs JOIN pt q ON q.k = t * 2 + tsd WHERE f * 2 + fs = 23 OR t * 2 + tsd = 23")
+@query("pinned_rests", "{SEG}, {LK}, {CON}, {PT} SELECT ord AS link, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 5) AS rest FROM e JOIN pt p ON p.k = f * 2 + fs JOIN pt q ON q.k = t * 2 + tsd WHERE (SELECT min(f * 2 + fs) FROM e) IN (f * 2 + fs, t * 2 + tsd)")
 def pinned_rests(spark, d):
-    return rx.pinned_rests(port_points(contigs(spark, d)), po.link_keys(graph(spark, d)), 23).select("link", F.round("rest", 5).alias("rest"))
+    links = po.link_keys(graph(spark, d))
+    first = links.agg(F.min("a")).first()[0]  # the first port at which a link starts
+    return rx.pinned_rests(port_points(contigs(spark, d)), links, first).select("link", F.round("rest", 5).alias("rest"))
 
 
 # the edit log
@@ -492,6 +509,26 @@ def relax_local(spark, d):
     return rx.relax_local(pt, links, po.junctions(links), regions, pins, rb.mean_chord(c).first()[0])
 
 
+@query("relax_rods", "{SEG}, {LK}, {CON}, {LOG}, g AS (SELECT DISTINCT k FROM lg2 WHERE kind = 'move_port' AND k < 2 * (SELECT count(*) FROM seg)), r AS (SELECT k, k // 2 AS c FROM g UNION SELECT k, t FROM g JOIN e ON f = k // 2 UNION SELECT k, f FROM g JOIN e ON t = k // 2) SELECT k AS gesture, c AS contig, round(sqrt((out_x - in_x) ** 2 + (out_y - in_y) ** 2), 4) AS len FROM r JOIN con ON con.ord = c")
+def relax_rods(spark, d):
+    """Contigs keep their lengths through a relaxation, whatever pulls at them."""
+    rows = relax_local(spark, d).withColumn("contig", F.shiftright("key", 1))
+    at = lambda s, c: F.max(F.when(F.col("key") % 2 == s, F.col(c)))
+    rows = rows.groupBy("gesture", "contig").agg(F.hypot(at(0, "x") - at(1, "x"), at(0, "y") - at(1, "y")).alias("len"))
+    return rows.select("gesture", "contig", F.round("len", 4).alias("len"))
+
+
+@query("lone_contigs", "{SEG}, {LK} SELECT id AS contig, round(1.0::DOUBLE + 0.6::DOUBLE * sqrt(length_bp::DOUBLE), 4) AS len FROM seg WHERE ord NOT IN (SELECT f FROM e UNION SELECT t FROM e)")
+def lone_contigs(spark, d):
+    """In the layout, a contig without links has exactly its visual length."""
+    g = graph(spark, d)
+    at = lay.layout(g).select(fn.port_owner(F.col("port_id")).alias("contig"), F.col("port_id").endswith(":IN").alias("first"), "x", "y")
+    at = at.join(g.endpoints.select(F.col("node_id").alias("contig")), "contig", "left_anti")
+    end = lambda s, c: F.max(F.when(F.col("first") == s, F.col(c)))
+    rows = at.groupBy("contig").agg(F.hypot(end(True, "x") - end(False, "x"), end(True, "y") - end(False, "y")).alias("len"))
+    return rows.select("contig", F.round("len", 4).alias("len"))
+
+
 @query("scene_bytes")
 def scene_bytes(spark, d):
     """The whole graph as a scene file: size and header."""

@@ -137,5 +137,14 @@ def read_json_scene(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json_scene(contigs: DataFrame, path: str) -> None:
-    """Ribbons as JSON lines, in parallel."""
-    contigs.write.json(path)
+    """Ribbons as one JSON object of flat arrays, as ``read_json_scene`` takes them.  One object is one row, so this is for scenes a client can open."""
+    each = F.array_sort(F.collect_list(F.struct("ord", *(F.col(c).cast("double").alias(c) for c in ("in_x", "in_y", "out_x", "out_y", "width")), *(F.col(c).cast("int").alias(c) for c in "rgba"))))
+    flat = lambda *names: F.flatten(F.transform("t", lambda t: F.array(*(t[n] for n in names))))
+    rows = contigs.agg(each.alias("t"))
+    rows = rows.select(flat("in_x", "in_y", "out_x", "out_y").alias("contigPositions"), flat("width").alias("contigWidth"), flat(*"rgba").alias("contigColor"))
+    rows.coalesce(1).write.json(path)
+
+
+def first_ids(contigs: DataFrame, k: int = 3) -> list[str]:
+    """The first k ids in order: what a quick look at a scene shows."""
+    return [r["id"] for r in contigs.orderBy("ord").limit(k).select("id").collect()]
