@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, numbered, partitions_for
 
 
+SALTS = 16
+
+
 def quotas(sizes: np.ndarray, requests: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     """Shares (0..1) of the requests from shard i to shard j to grant.
 
@@ -66,7 +69,9 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 8, slack: float = 0.1,
     target = np.array([n // shards + (s < n % shards) for s in range(shards)], dtype=np.int64)
     tasks = partitions_for(spark, n, 1_000_000)
     start = F.pmod(F.xxhash64("doc_id", "g"), F.lit(shards)).cast("int")
-    cur = base.join(linked, "g", "left").withColumn("label", start)
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # a group's row once for each salt, so that a large group is several tasks
+    cur = base.withColumn("salt", salt).join(linked.select("g", "members", every), ["g", "salt"], "left").withColumn("label", start)
     cur = scratch.save(cur.withColumn("linked", F.col("members").isNotNull()).drop("members"), "labels")
     for k in range(rounds):
         votes = cur.filter("linked").groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -87,7 +92,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 8, slack: float = 0.1,
         lone = F.when(F.col("c") * 20 > int(target.max()), F.col("doc_id")).otherwise(F.lit(0))
         coin = F.pmod(F.xxhash64("g", "label", lone, F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
         moves = votes.filter("label <> to").join(F.broadcast(grant), ["label", "to"])
-        nxt = cur.join(moves.select("g", "label", "to", "share", "c"), ["g", "label"], "left")
+        nxt = cur.join(moves.select("g", "label", "to", "share", "c", every), ["g", "label", "salt"], "left")
         nxt = nxt.withColumn("label", F.when(F.col("to").isNotNull() & (coin < F.col("share")), F.col("to")).otherwise(F.col("label")))
         nxt = scratch.save(nxt.select(cur.columns), "labels")
         scratch.drop(votes, cur)
