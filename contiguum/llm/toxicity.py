@@ -132,21 +132,26 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = 12_00
 
     def hashed(batches):
         for batch in forgetting(small_batches(batches, "text")):
-            yield pa.RecordBatch.from_arrays([pa.array([slots(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([slots(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["h", "at"])
 
-    def smallest(ids: DataFrame) -> list[np.ndarray]:
-        """Copies of one text count once: a copied text says no more than one."""
-        first = ids.groupBy(F.xxhash64("text").alias("t")).agg(F.min(F.struct(F.xxhash64("doc_id"), "text")).alias("s"))
-        chosen = first.select(F.col("s.text").alias("text"), F.col("s.col1").alias("h")).orderBy("h").limit(sample).select("text")
-        return [np.frombuffer(r["at"], np.int32) for r in chosen.mapInArrow(hashed, "at binary").collect()]
+    def smallest(rows: DataFrame) -> list[np.ndarray]:
+        """Word sets of the ``sample`` texts with the smallest hashes of ids.  Copies of one text count once: a copied text says no more than one.
 
-    toxic = texts.join(marks.filter("y = 1").select("doc_id"), "doc_id", "left_semi")
+        Hashes alone are sorted; the chosen pairs, bounded by ``sample``, are sent to where the texts are read.
+        """
+        keyed = rows.select(F.xxhash64("text").alias("t"), F.xxhash64("doc_id").alias("h"), "text")
+        chosen = keyed.groupBy("t").agg(F.min("h").alias("h")).orderBy("h", "t").limit(sample)
+        found = keyed.join(F.broadcast(chosen), ["t", "h"], "left_semi").select("h", "text").mapInArrow(hashed, "h long, at binary")
+        return [np.frombuffer(at, np.int32) for _, at in sorted({(r["h"], bytes(r["at"])) for r in found.collect()})]
+
+    # confirmed toxic ids with the smallest hashes: three times the sample, as copies count once; their number is bounded
+    wanted = marks.filter("y = 1").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(3 * sample)
+    toxic = texts.join(F.broadcast(wanted), "doc_id", "left_semi")
     # the unlabelled draw is by id hash, so that all but a bounded share of the texts is dropped before any shuffle
     total = max(1, texts.count())
     cut = min(1 << 30, int((1 << 30) * min(1.0, 3.0 * sample / total)))
     drawn = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut)
-    drawn_pos = toxic.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * min(1.0, 3.0 * sample / max(1, n_pos)))))
-    return PuClassifier.fit(smallest(drawn_pos), smallest(drawn), (n_pos / n if n else 0.0))
+    return PuClassifier.fit(smallest(toxic), smallest(drawn), (n_pos / n if n else 0.0))
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
