@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 CACHE_CHUNKS = 500_000
 CACHE_PAIRS = 2_000_000
@@ -264,9 +264,23 @@ TRIE_BYTES = 14 << 20
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
+def uncollected(run):
+    """A task's function during which the cycle collector rests: nothing here makes cycles, and collections walk the whole cache."""
+
+    def task(batches):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if was:
+                gc.enable()
+
+    return lean(task)
+
+
 def encoder(blob: bytes) -> TextEncoder:
     """One encoder for each Python worker and tokenizer file."""
-    gc.disable()  # nothing here makes cycles, and collections walk the whole cache
     key = hashlib.sha256(blob).hexdigest()
     if key not in _ENCODERS:
         _ENCODERS[key] = TextEncoder(json.loads(blob))
@@ -302,4 +316,4 @@ def bpe_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(uncollected(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -34,7 +34,7 @@ def shared_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_BASE:
         _LOCAL_BASE.append(tempfile.mkdtemp(prefix="contiguum-"))
@@ -192,6 +192,8 @@ def min_label_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: st
         if state == seen and row[0] == row[2]:
             break
         seen = state
+    else:
+        raise RuntimeError("components did not settle in 60 rounds, which no graph of fewer than 2^60 nodes should need")
     nodes = cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return nodes.union(roots)

@@ -3,7 +3,7 @@
 Every document is cut into full windows and one remainder.  How often each remainder length occurs is a
 histogram of at most ``window - 1`` numbers, whatever the number of documents.  Shallow combinations of
 lengths that fill a window exactly (one, two or three remainders) are the columns of a matrix; non-negative least
-squares gives how often to repeat each, rounding down keeps within the histogram, and the residual
+squares gives how often to repeat each, the counts are rounded within the histogram, and the residual
 remainders are laid end to end and cut at window bounds.  Only the very last sequence can need padding.
 
 Which piece a remainder becomes depends on its length and its rank among the remainders of that length.
@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import TRIE_BYTES, encoder, load
-from .common import Scratch, small_batches
+from .bpe import TRIE_BYTES, encoder, load, uncollected
+from .common import Scratch, lean, small_batches
 
 
 def combinations(hist: np.ndarray, common: int = 48) -> list[tuple[int, ...]]:
@@ -46,7 +46,10 @@ def combinations(hist: np.ndarray, common: int = 48) -> list[tuple[int, ...]]:
 
 
 def nnls_counts(hist: np.ndarray, combos: list[tuple[int, ...]], steps: int = 400) -> np.ndarray:
-    """Whole repeat counts: accelerated projected gradient on ||A x - hist||^2 with x >= 0, rounded down and kept within hist."""
+    """Whole repeat counts: accelerated projected gradient on ||A x - hist||^2 with x >= 0, rounded and kept within hist.
+
+    Rounded down first; then the combinations with the largest fractions get one more, while hist has their lengths.
+    """
     if not combos:
         return np.zeros(0, np.int64)
     col = np.repeat(np.arange(len(combos)), [len(c) for c in combos])
@@ -62,12 +65,16 @@ def nnls_counts(hist: np.ndarray, combos: list[tuple[int, ...]], steps: int = 40
         t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         y, x = new + (last - 1) / t * (new - x), new
     spare, out = hist.astype(np.int64).copy(), np.zeros(len(combos), np.int64)
-    for j in np.argsort(-x, kind="stable").tolist():
-        if x[j] < 1:
-            break
-        at, k = np.unique(combos[j], return_counts=True)
-        out[j] = min(int(x[j]), int((spare[at] // k).min()))
-        spare[at] -= out[j] * k
+    parts = [np.unique(c, return_counts=True) for c in combos]
+    whole = np.floor(x).astype(np.int64)
+    for more in (whole, (x > whole + 1e-3).astype(np.int64)):
+        rank = -x if more is whole else whole - x
+        for j in np.argsort(rank, kind="stable").tolist():
+            if more[j]:
+                at, k = parts[j]
+                n = min(int(more[j]), int((spare[at] // k).min()))
+                out[j] += n
+                spare[at] -= n * k
     return out
 
 
@@ -147,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
             )
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    coded = scratch.save(src.mapInArrow(tokenize, "doc_id long, task long, n long, rem int, first long, rank long, ids binary"), "ids")
+    coded = scratch.save(src.mapInArrow(uncollected(tokenize), "doc_id long, task long, n long, rem int, first long, rank long, ids binary"), "ids")
     cells = coded.groupBy("rem", "task").agg(F.count(F.lit(1)).alias("c"), F.sum(F.expr(f"n div {window}")).alias("f"))
     cells = scratch.save(cells, "cells")
     # bounded: at most one row for each remainder length
@@ -179,4 +186,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     ready = placed.select("doc_id", "n", "rem", (F.col("first") + F.col("full_base")).alias("first"), (F.col("rank") + F.col("base")).alias("rank"), "ids")
-    return ready.mapInArrow(place, OUT)
+    return ready.mapInArrow(lean(place), OUT)
