@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, lean, small_batches
+from .common import Scratch, give_back, lean, narrow_batches, small_batches
 
 BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 1 << 16  # so that a document's number in its block takes 16 bits
@@ -116,6 +116,7 @@ def build_blocks(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str,
         if texts:
             yield block()
 
+    narrow_batches(scratch.spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
     return scratch.save(src.mapInArrow(lean(run), BLOCK_SCHEMA + ", carry binary" * bool(carry)), "blocks")
 

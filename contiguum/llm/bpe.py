@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, small_batches
+from .common import hold, lean, small_batches
 
 CACHE_CHUNKS = 500_000
 CACHE_PAIRS = 2_000_000
@@ -276,13 +276,14 @@ def uncollected(run):
             if was:
                 gc.enable()
 
-    return lean(task)
+    return lean(task, keep="bpe")
 
 
 def encoder(blob: bytes) -> TextEncoder:
     """One encoder for each Python worker and tokenizer file."""
     key = hashlib.sha256(blob).hexdigest()
     if key not in _ENCODERS:
+        hold("bpe", _ENCODERS.clear)
         _ENCODERS[key] = TextEncoder(json.loads(blob))
     return _ENCODERS[key]
 

@@ -13,11 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import contracted, stars
 from ..shipping import ship
 
 _LIVE: dict[str, weakref.ref] = {}
 _TABLES: dict[str, list[str]] = {}
 _LOCAL_BASE: list[str] = []
+_HELD: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,10 +125,26 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(run):
-    """A task's function after which its Python worker, which goes on to other operators, holds no freed memory."""
+def hold(name: str, clear) -> None:
+    """Tell that this worker holds a cache, which ``clear`` empties."""
+    _HELD[name] = clear
+
+
+def settle(keep: str | None) -> None:
+    """Empty the caches of other operators, whose tasks this worker ran before."""
+    others = [n for n in _HELD if n != keep]
+    for n in others:
+        _HELD.pop(n)()
+    if others:
+        give_back()
+
+
+def lean(run, keep: str | None = None):
+    """A task's function after which its Python worker, which goes on to other operators, holds no freed memory, and before
+    which it lets go of caches but the one named."""
 
     def task(batches):
+        settle(keep)
         try:
             yield from run(batches)
         finally:
@@ -135,6 +153,13 @@ def lean(run):
     return task
 
 
+def narrow_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Let the session send batches of at most ``limit`` bytes to Python workers: both sides hold several copies of one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "67108864b").rstrip("b")) > limit:
+        spark.conf.set(name, f"{limit}b")
+
+
 def partitions_for(spark: SparkSession, units: int, per_task: int) -> int:
     """Enough tasks for ``units`` at ``per_task`` each, and never fewer than the session's shuffle setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // per_task))
@@ -165,38 +190,27 @@ def numbered(scratch: Scratch, df: DataFrame, order: list, parts: int, group: st
 def min_label_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges between long ids: rows ``(id, component)``, smallest id of each.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014).  A node never gathers its
-    neighbours in one task: each step is a partial minimum by key and a join, so a hub of any degree
-    is pre-aggregated before the shuffle.  Each round is written to the shared folder.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until every edge points at a root; before the first round and
+    after each, a partition's edges are contracted where they are.  A node never gathers its neighbours in one task: each step is a
+    partial minimum by key and a join, so a hub of any degree is pre-aggregated before the shuffle.  Each round is
+    written to the shared folder.
     """
-    spark = scratch.spark
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u <> v").distinct()
-    cur = scratch.save(e, "cc")
-    if cur.isEmpty():
-        return cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    seen = None
-    for _ in range(60):
+    cur = scratch.save(contracted(e), "cc")
+    while not stars(cur):
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large-star: neighbours above a node go to the node's minimum
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = scratch.save(large, "cc-large")
         # small-star: neighbours below a node, and the node, go to the minimum
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        nxt = scratch.save(small, "cc")
-        scratch.drop(cur, large)
-        row = nxt.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("v").cast("decimal(38,0)")), F.lit(0)), F.count_distinct("u")).first()
-        state = (row[0], str(row[1]))
+        nxt = scratch.save(contracted(small), "cc")
+        scratch.drop(cur)
         cur = nxt
-        if state == seen and row[0] == row[2]:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle in 60 rounds, which no graph of fewer than 2^60 nodes should need")
     nodes = cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return nodes.union(roots)
 
 
-__all__ = ["Scratch", "Window", "give_back", "lean", "min_label_components", "numbered", "partitions_for", "shared_base", "small_batches", "table", "text_bytes"]
+__all__ = ["Scratch", "Window", "give_back", "hold", "lean", "min_label_components", "narrow_batches", "numbered", "partitions_for", "shared_base", "small_batches", "table", "text_bytes"]

@@ -86,8 +86,8 @@ class Strings:
         cover = np.zeros(self.period, bool)
         cover[list(COVERS[self.period])] = True
         at, begin, end = [], [], []
-        for a in range(0, self.size, 1 << 19):
-            pos, lo, hi = self.around(a, min(a + (1 << 19), self.size))
+        for a in range(0, self.size, 1 << 17):
+            pos, lo, hi = self.around(a, min(a + (1 << 17), self.size))
             here = np.flatnonzero(cover[(pos - lo) % self.period] & (pos + self.tuple <= hi) & (hi - lo >= length))
             at.append(pos[here])
             begin.append(lo[here])

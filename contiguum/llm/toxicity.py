@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import give_back, small_batches
+from .common import give_back, lean, narrow_batches, small_batches
 
 DIMS = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
@@ -124,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = 12_00
     one says so; null labels count as none.
     """
     ship(docs.sparkSession)
+    narrow_batches(docs.sparkSession)
     in_fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != 0
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull()).filter(in_fold)
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -141,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = 12_00
         """
         keyed = rows.select(F.xxhash64("text").alias("t"), F.xxhash64("doc_id").alias("h"), "text")
         chosen = keyed.groupBy("t").agg(F.min("h").alias("h")).orderBy("h", "t").limit(sample)
-        found = keyed.join(F.broadcast(chosen), ["t", "h"], "left_semi").select("h", "text").mapInArrow(hashed, "h long, at binary")
+        found = keyed.join(F.broadcast(chosen), ["t", "h"], "left_semi").select("h", "text").mapInArrow(lean(hashed), "h long, at binary")
         return [np.frombuffer(at, np.int32) for _, at in sorted({(r["h"], bytes(r["at"])) for r in found.collect()})]
 
     # confirmed toxic ids with the smallest hashes: three times the sample, as copies count once; their number is bounded
@@ -170,7 +171,7 @@ def score(docs: DataFrame, model: PuClassifier, fold: int = 5, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_()), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, SCORED)
+    return src.mapInArrow(lean(run), SCORED)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = 12_000) -> DataFrame:
@@ -189,4 +190,4 @@ def keep_clean(docs: DataFrame, model: PuClassifier, threshold: float = 0.5, tex
         for batch in forgetting(small_batches(batches, text_col)):
             yield batch.filter(pa.array([m.score(slots(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
