@@ -273,6 +273,7 @@ def uncollected(run):
         try:
             yield from run(batches)
         finally:
+            gc.freeze()  # the cache stays; later collections need not walk it
             if was:
                 gc.enable()
 
