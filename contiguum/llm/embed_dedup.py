@@ -2,8 +2,9 @@
 
 Equal vectors are folded into one with a weight first.  A vector has a home cell (its nearest centroid) and is
 a guest in every cell whose centroid is nearly as close (see ``guests``).  Homes are compared
-with the homes and guests of their cell in tiles of at most ``TILE`` x ``TILE``, so a cell that holds a
-third of all vectors is many tasks.  A tile returns link counts and a spanning forest, never its pairs.
+with the homes and guests of their cell in tiles of about ``TILE`` x ``TILE``, so a cell that holds a
+third of all vectors is many tasks.  Vectors travel in chunks, one row for up to ``PIECE`` vectors of a cell.  A tile returns
+link counts and a spanning forest, never its pairs.
 
 No pair is missed.  If x and y with homes c and d have cosine t or more, their gaps <x, c - d> and <y, d - c> add up to
 <x - y, c - d> <= sqrt(2 - 2t) |c - d|, so one of them is at most half of that, and that vector is a guest of the other's cell.
@@ -15,13 +16,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import forest
 from .common import Scratch, min_label_components
 from .vectors import matrix, most_common_dim, unit
 
 TILE = 2048
+PIECE = 256  # vectors of a chunk at most; a block is the chunks that hash to it, about TILE vectors
+CHUNK = pa.schema([("chunk", pa.int64()), ("cell", pa.int32()), ("is_home", pa.bool_()), ("size", pa.int32()), *((k, pa.binary()) for k in ("rep", "w", "v", "home", "top"))])
 SLACK = 1e-6  # covers rounding; it only adds guests
 
 
@@ -50,19 +55,41 @@ def guests(u: np.ndarray, home: np.ndarray, top: np.ndarray, cells: np.ndarray,
     return top[:, None] - u @ c.T <= np.sqrt((1 - threshold) / 2) * apart + SLACK
 
 
-def forest(mask: np.ndarray) -> np.ndarray:
-    """Edges (root, member) that span the components of a symmetric boolean matrix."""
-    seen, out = np.zeros(len(mask), bool), []
-    for i in np.flatnonzero(mask.any(1)):
-        if seen[i]:
-            continue
-        seen[i], front = True, np.array([i])
-        while len(front):
-            new = mask[front].any(0) & ~seen
-            front = np.flatnonzero(new)
-            seen |= new
-            out += [(i, j) for j in front.tolist()]
-    return np.array(out, np.int64).reshape(-1, 2)
+def runs(kind: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of runs of equal sorted numbers, cut to ``PIECE`` each."""
+    ends = np.flatnonzero(np.r_[kind[1:] != kind[:-1], True]) + 1 if len(kind) else np.zeros(0, np.int64)
+    return [(k, min(k + PIECE, int(b))) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True) for k in range(int(a), int(b), PIECE)]
+
+
+def packed(v: np.ndarray) -> bytes:
+    """Vectors as bytes: in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = v.astype(np.float32)
+    return short.tobytes() if (short == v).all() else v.tobytes()
+
+
+def opened(chunks: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, weights, unit vectors, home cells and their cosines of some chunks."""
+    rep, w, home, top = (np.frombuffer(b"".join(chunks.column(k).to_pylist()), t) for k, t in (("rep", np.int64), ("w", np.int64), ("home", np.int32), ("top", np.float64)))
+    some = zip(chunks.column("v").to_pylist(), chunks.column("rep").to_pylist(), strict=True)
+    v = [np.frombuffer(x, np.float64 if len(x) == len(r) * dim else np.float32).reshape(-1, dim) for x, r in some]
+    return rep, w, unit(np.concatenate(v).astype(np.float64)), home, top
+
+
+def close(x: np.ndarray, y: np.ndarray, threshold: float):
+    """All pairs of unit rows at the threshold or more, for some hundred rows of ``x`` at a time.  Products in single precision choose,
+    with room for their rounding; sums of doubles in a fixed order decide."""
+    small = y.astype(np.float32).T
+    room = np.float32(threshold - 1e-6 * (8 + x.shape[1]))
+    for a in range(0, len(x), 256):
+        p, q = np.nonzero(x[a : a + 256].astype(np.float32) @ small >= room)
+        p += a
+        real = np.zeros(len(p), bool)
+        for s in range(0, len(p), 1 << 15):
+            e = slice(s, s + (1 << 15))
+            real[e] = (x[p[e]] * y[q[e]]).sum(1) >= threshold
+        if real.any():
+            yield p[real], q[real]
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.95, sample: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -104,26 +131,35 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, sample: int = 20_000
     cells = len(cents)
     sent = spark.sparkContext.broadcast(cents)
 
+    step = int(np.clip((1 << 22) // cells, 256, 8192))
+
     def place(batches):
-        c = sent.value
+        c, part, seq = sent.value, TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             v = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, dim)
-            for a in range(0, len(v), 1024):
-                u = unit(v[a : a + 1024])
+            rep, w = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a in range(0, len(v), step):
+                u = unit(v[a : a + step])
                 sim = u @ c.T
                 home, top = sim.argmax(1), sim.max(1)
                 i, j = np.nonzero(guests(u, home, top, np.arange(cells), c, threshold))
-                at = pa.array(a + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(j, pa.int32()), pa.array(home[i], pa.int32()), pa.array(top[i])], names=["rep", "w", "v", "cell", "home", "top"])
-
-    placed = folded.select("rep", "w", "v").mapInArrow(place, "rep long, w long, v binary, cell int, home int, top double")
-    is_home = F.col("cell") == F.col("home")
-    placed = scratch.save(placed.withColumn("is_home", is_home), "placed")
+                kind = 2 * j + (home[i] != j)
+                order = np.argsort(kind, kind="stable")
+                i, kind = i[order], kind[order]
+                held = [
+                    (part + seq + k, int(kind[p]) // 2, not kind[p] % 2, len(m), rep[a + m].tobytes(), w[a + m].tobytes(), packed(v[a + m]), home[m].astype(np.int32).tobytes(), top[m].tobytes())
+                    for k, (p, m) in enumerate((p, i[p:q]) for p, q in runs(kind))
+                ]
+                seq += len(held)
+                yield pa.RecordBatch.from_pylist([dict(zip(CHUNK.names, h, strict=True)) for h in held], CHUNK)
+
+    placed = folded.select("rep", "w", "v").mapInArrow(place, "chunk long, cell int, is_home boolean, size int, rep binary, w binary, v binary, home binary, top binary")
+    placed = scratch.save(placed, "placed")
     blocks = np.ones((cells, 2), np.int64)  # of homes and guests; bounded: two rows for each cell
-    for r in placed.groupBy("cell", "is_home").count().collect():
-        blocks[r["cell"], 0 if r["is_home"] else 1] = -(-r["count"] // TILE)
+    for r in placed.groupBy("cell", "is_home").agg(F.sum("size").alias("n")).collect():
+        blocks[r["cell"], 0 if r["is_home"] else 1] = -(-r["n"] // TILE)
     sizes = spark.createDataFrame([(j, int(h), int(g)) for j, (h, g) in enumerate(blocks)], "cell int, homes long, guests long")
-    laid = placed.join(F.broadcast(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("rep"), F.when(F.col("is_home"), F.col("homes")).otherwise(F.col("guests"))))
+    laid = placed.join(F.broadcast(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("chunk"), F.when(F.col("is_home"), F.col("homes")).otherwise(F.col("guests"))))
     # tile (i, j, kind): kind 0 compares home blocks i <= j, kind 1 compares home block i with guest block j
     other = F.sequence(F.lit(0).cast("long"), F.col("homes") - 1)
     guest = F.sequence(F.lit(0).cast("long"), F.col("guests") - 1)
@@ -140,39 +176,31 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, sample: int = 20_000
         block = table.column("b").to_numpy()
         left = at_home & (block == i)
         right = ~at_home & (block == j) if kind else at_home & (block == j)
-        rep, w, home, top = (table.column(k).to_numpy() for k in ("rep", "w", "home", "top"))
         out = [np.zeros(0, np.int64)] * 3
         if left.any() and right.any():
-            u = unit(np.frombuffer(b"".join(table.column("v").to_pylist())).reshape(-1, dim))
-            a, c = np.flatnonzero(left), np.flatnonzero(right)
-            mask = u[a] @ u[c].T >= threshold - 1e-9
-            p, q = np.nonzero(mask)
-            edge = np.zeros(len(p), bool)
-            for s in range(0, len(p), 1 << 16):  # the sum in fixed order decides at the threshold itself
-                e = slice(s, s + (1 << 16))
-                edge[e] = (u[a[p[e]]] * u[c[q[e]]]).sum(1) >= threshold
-            mask[p[~edge], q[~edge]] = False
-            if kind:
-                # a pair that both cells would find counts in the smaller one
-                back = np.unique(home[c])
-                probes = guests(u[a], home[a], top[a], back, sent.value, threshold)
-                mask &= ~(probes[:, np.searchsorted(back, home[c])] & (home[c] < cell)[None, :])
-                both = np.zeros((len(a) + len(c),) * 2, bool)
-                both[: len(a), len(a) :] = mask
-                both[len(a) :, : len(a)] = mask.T
-                nodes = np.r_[a, c]
-            elif i == j:
-                np.fill_diagonal(mask, False)
-                both, nodes = mask, a
-            else:
-                both = np.zeros((len(a) + len(c),) * 2, bool)
-                both[: len(a), len(a) :] = mask
-                both[len(a) :, : len(a)] = mask.T
-                nodes = np.r_[a, c]
-            links = both @ w[nodes].astype(np.int64) if both.any() else np.zeros(len(nodes), np.int64)
+            rep, w, u, home, top = opened(table.filter(pa.array(left)), dim)
+            same = not kind and i == j
+            rep2, w2, u2, home2, _ = (rep, w, u, home, top) if same else opened(table.filter(pa.array(right)), dim)
+            back = np.unique(home2)
+            links, links2, edges = np.zeros(len(rep)), np.zeros(len(rep2)), []
+            for p, q in close(u, u2, threshold):
+                if same:
+                    once = p != q
+                elif kind:  # a pair that both cells would find counts in the smaller one
+                    some, at = np.unique(p, return_inverse=True)
+                    probes = guests(u[some], home[some], top[some], back, sent.value, threshold)
+                    once = ~(probes[at, np.searchsorted(back, home2[q])] & (home2[q] < cell))
+                else:
+                    once = np.ones(len(p), bool)
+                p, q = p[once], q[once]
+                links += np.bincount(p, w2[q], len(rep))
+                if not same:
+                    links2 += np.bincount(q, w[p], len(rep2))
+                edges.append(forest(rep[p], rep2[q]))
+            reps, links = (rep, links) if same else (np.r_[rep, rep2], np.r_[links, links2])
             some = np.flatnonzero(links)
-            tree = forest(both)
-            out = [np.r_[rep[nodes[some]], rep[nodes[tree[:, 0]]]], np.r_[links[some], rep[nodes[tree[:, 1]]]], np.r_[np.zeros(len(some), np.int64), np.ones(len(tree), np.int64)]]
+            up, down = forest(*(np.concatenate([np.zeros(0, np.int64), *e]) for e in zip(*edges, strict=True))) if edges else out[:2]
+            out = [np.r_[reps[some], up], np.r_[links[some], down], np.r_[np.zeros(len(some)), np.ones(len(up))]]
         return pa.table({"a": out[0].astype(np.int64), "b": out[1].astype(np.int64), "kind": out[2].astype(np.int64)})
 
     found = scratch.save(tiles.groupBy("cell", "i", "j", "kind").applyInArrow(compare, "a long, b long, kind long"), "links")

@@ -275,6 +275,29 @@ def test_embedding_links_across_far_cells(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (2, 0, i == 0) for i in range(24)}
 
 
+def test_embedding_links_over_many_tiles(spark, monkeypatch):
+    """Every link of dense groups that spread over cells, blocks and chunks is found, and no other: recall 1."""
+    monkeypatch.setattr(embed_dedup, "TILE", 96)
+    rng = np.random.default_rng(8)
+    middle = rng.standard_normal((60, 8))
+    x = (middle[rng.integers(0, 60, 2400)] + 0.25 * rng.standard_normal((2400, 8))).astype(np.float32).astype(float)
+    x[1:900] = middle[0] + 0.12 * rng.standard_normal((899, 8))
+    x[-300:] = x[:300]
+    got = embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    assert got.n_links.sort_index().tolist() == links.sum(1).tolist() and links.sum() > 100_000
+    label = np.arange(len(x))
+    while True:
+        low = np.minimum(label, np.where(links, label[None, :], len(x)).min(1))
+        if (low == label).all():
+            break
+        label = low
+    assert got.component_id.sort_index().tolist() == label.tolist()
+    assert (got.kept == (got.index == got.component_id)).all()
+
+
 def test_embedding_dedup_and_search(spark):
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors()], "vec_id long, embedding array<double>, rep string")
     good = [(i, np.array(v)) for i, v in vectors() if i is not None and v is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
