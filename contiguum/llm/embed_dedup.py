@@ -26,6 +26,7 @@ from .vectors import matrix, most_common_dim, unit
 
 TILE = 2048
 PIECE = 256  # vectors of a chunk at most; a block is the chunks that hash to it, about TILE vectors
+COPY = 2000  # work of sending a vector to one more cell, in products of two vectors
 CHUNK = pa.schema([("chunk", pa.int64()), ("cell", pa.int32()), ("is_home", pa.bool_()), ("size", pa.int32()), *((k, pa.binary()) for k in ("rep", "w", "v", "home", "top"))])
 SLACK = 1e-6  # covers rounding; it only adds guests
 
@@ -55,6 +56,29 @@ def guests(u: np.ndarray, home: np.ndarray, top: np.ndarray, cells: np.ndarray,
     return top[:, None] - u @ c.T <= np.sqrt((1 - threshold) / 2) * apart + SLACK
 
 
+def cheapest_cells(x: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Centroids fitted on the sample ``x``, as many as make the least work for ``n`` vectors: more cells mean fewer
+    products and more guests.  From sqrt(n), 4096 at most, the number is halved as long as the work that a sample of the sample needs falls, to 16 at least."""
+    best, least = None, np.inf
+    k = int(np.clip(round(n**0.5), 1, min(4096, len(x))))
+    while best is None or k >= 16:
+        cents = spherical_kmeans(x, k)
+        homes, others = np.zeros(k), np.zeros(k)
+        for a in range(0, min(len(x), 4096), 512):
+            u = x[a : a + 512]
+            sim = u @ cents.T
+            home = sim.argmax(1)
+            homes += np.bincount(home, minlength=k)
+            others += guests(u, home, sim.max(1), np.arange(k), cents, threshold).sum(0)
+        m = homes.sum()
+        others -= homes
+        work = COPY * (1 + others.sum() / m) + n * (homes * (homes / 2 + others)).sum() / m**2
+        if work >= least:
+            break
+        best, least, k = cents, work, k // 2
+    return best
+
+
 def runs(kind: np.ndarray) -> list[tuple[int, int]]:
     """(first, last) of runs of equal sorted numbers, cut to ``PIECE`` each."""
     ends = np.flatnonzero(np.r_[kind[1:] != kind[:-1], True]) + 1 if len(kind) else np.zeros(0, np.int64)
@@ -126,8 +150,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, sample: int = 20_000
     cut = int((1 << 30) * min(1.0, 1.2 * sample / n))
     drawn = folded.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) <= cut).orderBy(F.xxhash64("key"), "key").limit(sample).select("v").collect()
     x = unit(np.frombuffer(b"".join(r["v"] for r in drawn)).reshape(-1, dim))
-    cells = int(np.clip(round(n**0.5 / 2), 1, 4096))
-    cents = spherical_kmeans(x, cells)
+    cents = cheapest_cells(x, n, threshold)
     cells = len(cents)
     sent = spark.sparkContext.broadcast(cents)
 
