@@ -2,8 +2,8 @@
 
 Equal vectors are folded into one with a weight first.  A vector has a home cell (its nearest centroid) and is
 a guest in every cell whose centroid is nearly as close (see ``guests``).  Homes are compared
-with the homes and guests of their cell in tiles of about ``TILE`` x ``TILE``, so a cell that holds a
-third of all vectors is many tasks.  Vectors travel in chunks, one row for up to ``PIECE`` vectors of a cell.  A tile returns
+with the homes and guests of their cell in tiles of about ``TILE`` x ``TILE`` (``WIDE`` times as many
+guests), so a cell that holds a third of all vectors is many tasks.  Vectors travel in chunks, one row for up to ``PIECE`` vectors of a cell.  A tile returns
 link counts and a spanning forest, never its pairs.
 
 No pair is missed.  If x and y with homes c and d have cosine t or more, their gaps <x, c - d> and <y, d - c> add up to
@@ -25,6 +25,7 @@ from .common import Scratch, min_label_components
 from .vectors import matrix, most_common_dim, unit
 
 TILE = 2048
+WIDE = 4  # a block of guests holds so many times as much: each of them takes the homes along
 PIECE = 256  # vectors of a chunk at most; a block is the chunks that hash to it, about TILE vectors
 COPY = 2000  # work of sending a vector to one more cell, in products of two vectors
 CHUNK = pa.schema([("chunk", pa.int64()), ("cell", pa.int32()), ("is_home", pa.bool_()), ("size", pa.int32()), *((k, pa.binary()) for k in ("rep", "w", "v", "home", "top"))])
@@ -180,7 +181,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, sample: int = 20_000
     placed = scratch.save(placed, "placed")
     blocks = np.ones((cells, 2), np.int64)  # of homes and guests; bounded: two rows for each cell
     for r in placed.groupBy("cell", "is_home").agg(F.sum("size").alias("n")).collect():
-        blocks[r["cell"], 0 if r["is_home"] else 1] = -(-r["n"] // TILE)
+        blocks[r["cell"], 0 if r["is_home"] else 1] = -(-r["n"] // (TILE if r["is_home"] else WIDE * TILE))
     sizes = spark.createDataFrame([(j, int(h), int(g)) for j, (h, g) in enumerate(blocks)], "cell int, homes long, guests long")
     laid = placed.join(F.broadcast(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("chunk"), F.when(F.col("is_home"), F.col("homes")).otherwise(F.col("guests"))))
     # tile (i, j, kind): kind 0 compares home blocks i <= j, kind 1 compares home block i with guest block j
