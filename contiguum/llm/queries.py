@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bestfit, bpe, conversations, ctw, embed_dedup, jaccard_join, packing, repeats, sharding, toxicity, url_rules
+from . import ann, bestfit, bpe, conversations, ctw, embed_dedup, jaccard_join, merkle, packing, repeats, sharding, toxicity, url_rules
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.plan_repairs(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
