@@ -111,4 +111,4 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 8, slack: float = 0.1,
         here = (F.col("spill") >= lo) & (F.col("spill") < hi)
         to = F.when(here, F.lit(s)).otherwise(to)
         slot = F.when(here, F.col("spill") - lo + int(count[s])).otherwise(slot)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), to.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("long").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), to.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
