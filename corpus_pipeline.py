@@ -23,10 +23,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-copy group.  Documents without words are in no group and stay, and so do null ids."""
+    """The document with the smallest id of each near-copy group, once.
+
+    Rows that share an id (or have none) and a text are one document, whichever of them stays; rows that share an id but not
+    the text are told apart.  Documents without words are in no group and stay, one for each id and text.  An empty table stays empty; other
+    columns than those of ``documents`` are left out.
+    """
     found = jaccard_join.jaccard_components(docs)
     others = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(others, "doc_id", "left_anti").select(COLUMNS)
+    kept = docs.select(COLUMNS).join(others, "doc_id", "left_anti").select(COLUMNS)
+    again = Scratch(spark, "again").save(docs.groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again"))
+    if again.isEmpty():
+        return kept
+    same = kept["doc_id"].eqNullSafe(again["again"])
+    text = F.sha2(F.col("text").cast("binary"), 256)
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).select(COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
