@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 WORDS = [f"w{i:02d}" for i in range(60)]
 
@@ -55,3 +56,13 @@ def test_stages(spark, folder, tmp_path):
     assert set(packed.doc_id) == set(want) and (packed.groupby("doc_id").length.sum() == packed.groupby("doc_id").doc_tokens.first()).all()
     words = sum(len(re.findall(r"w|\d", t or "")) for t in want.values())
     assert words  # texts are not empty
+
+
+def test_repeated_rows_leave_one(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text, other = " ".join(WORDS[:20]), " ".join(WORDS[30:50])
+    rows = [(1, text)] * 3 + [(2, text), (3, other), (3, other), (4, None), (4, None), (5, ""), (None, text), (None, text), (7, text + " tail"), (8, WORDS[0]), (8, WORDS[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("again", F.lit(1))
+    got = sorted(((r.doc_id, r.text) for r in pipeline.keep_one_of_group(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, text), (3, other), (4, None), (5, ""), (None, text), (8, WORDS[0]), (8, WORDS[1])], key=str)
+    assert pipeline.keep_one_of_group(spark, docs.limit(0), "").count() == 0
