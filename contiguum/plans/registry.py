@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from ..operators import relax as rx
 from ..operators import ribbons as rb
 from ..operators import scene as sc
 from ..operators.graph import END, AssemblyGraph
-from ..operators.lineage import cut
+from ..operators.lineage import cut, shared_folder
 from ..sources import bridge, gfa, scene_file
 
 _GRAPHS: dict[tuple[str, str], AssemblyGraph] = {}
@@ -368,10 +369,9 @@ def scene_contigs(spark, d):
 def scene_roundtrip(spark, d):
     """The same columns after the whole scene went through a file's bytes."""
     g = graph(spark, d)
-    scene = scene_file.decode(scene_file.scene_bytes(sc.build_scene(g, sc.grid_positions(g), "bridge")))
-    rows = zip(scene["idTable"], scene["contigPositions"].tolist(), scene["contigWidth"].tolist(), scene["contigColor"].tolist(), strict=True)
-    back = [(i, name, *at, *wide, *color) for i, (name, at, wide, color) in enumerate(rows)]
-    return contig_rows(spark.createDataFrame(back, "ord long, id string, in_x double, in_y double, out_x double, out_y double, width double, r int, g int, b int, a int"))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.gsc"
+    scene_file.write_gsc1(sc.build_scene(g, sc.grid_positions(g), "bridge"), path)
+    return contig_rows(scene_file.read_contigs(spark, path))
 
 
 @query("scene_links", """{SEG}, {LK}, g AS (SELECT ord * 2 AS k, (ord % 100) * 20.0::DOUBLE AS x, (ord // 100) * 20.0::DOUBLE AS y FROM seg UNION ALL SELECT ord * 2 + 1, (ord % 100) * 20.0::DOUBLE + 1.0::DOUBLE + 0.6::DOUBLE * sqrt(length_bp::DOUBLE), (ord // 100) * 20.0::DOUBLE FROM seg)
@@ -529,10 +529,19 @@ def lone_contigs(spark, d):
     return rows.select("contig", F.round("len", 4).alias("len"))
 
 
-@query("scene_bytes")
+SCENE_HEAD = """{SEG}, {LK}, {CON}, n AS (SELECT count(*) AS n, sum(length(id) + 3) - 1 AS ids, max(greatest(in_x, out_x)) AS x, max(in_y) AS y FROM con), m AS (SELECT count(*) AS m FROM e),
+t AS (SELECT n, m, ids, concat('{"version":1,"source":"bridge","contigCount":', n, ',"linkCount":', m, ',"columns":{"contigPositions":{"dtype":"f32","size":4,"offset":0,"length":', 4 * n,
+ '},"contigWidth":{"dtype":"f32","size":1,"offset":', 16 * n, ',"length":', n, '},"linkPositions":{"dtype":"f32","size":4,"offset":', 20 * n, ',"length":', 4 * m,
+ '},"linkEndpoints":{"dtype":"u32","size":4,"offset":', 20 * n + 16 * m, ',"length":', 4 * m, '},"contigColor":{"dtype":"u8","size":4,"offset":', 20 * n + 32 * m, ',"length":', 4 * n,
+ '}},"idTable":[],"bbox":[0.0,0.0,', x, ',', y, ']}') AS head FROM n, m)
+SELECT (8 + length(head) + ids + 24 * n + 32 * m)::BIGINT AS bytes, n AS contigs, m AS links FROM t"""
+
+
+@query("scene_bytes", SCENE_HEAD)
 def scene_bytes(spark, d):
-    """The whole graph as a scene file: size and header."""
+    """The whole graph as a scene file: its size, and the counts of its header."""
     g = graph(spark, d)
-    blob = scene_file.scene_bytes(sc.build_scene(g, sc.grid_positions(g), "bridge"))
-    head = scene_file.decode(blob)
-    return spark.createDataFrame([(len(blob), len(head["idTable"]), len(head["linkPositions"]))], "bytes long, contigs long, links long")
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.gsc"
+    scene_file.write_gsc1(sc.build_scene(g, sc.grid_positions(g), "bridge"), path)
+    size = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+    return size.join(scene_file.read_headers(spark, path), "path").select("bytes", "contigs", "links")
