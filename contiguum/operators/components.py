@@ -1,4 +1,4 @@
-"""Iterative graph operators: components, breadth-first search, shortest paths.  Each round is a join on checkpointed tables."""
+"""Iterative graph operators: components and breadth-first search to a depth.  Each round is a join on written tables."""
 
 from __future__ import annotations
 
@@ -94,14 +94,20 @@ def stars(edges: DataFrame) -> bool:
 def hops(edges: DataFrame, seeds: DataFrame, depth: int | None = None, node: str = "n") -> DataFrame:
     """Breadth-first search from all seeds: (node, hops, parent); the parent is the smallest on the previous ring, null for seeds.
 
-    A neighbour of a ring is on that ring, the one before or the next, so only these are compared: the search reads and
-    writes each ring once, however many rings there are.
+    To a ``depth``, ring by ring: a neighbour of a ring is on that ring, the one before or the next, so only these are compared.
+    Without one, the search of ``searches.distances``, whose rounds do not follow the length of chains.
     """
+    if depth is None:
+        from . import searches
+
+        found = searches.distances(searches.unit(edges), seeds.select(F.lit(0).alias("key"), F.col(node).alias("node")))
+        found = searches.parents(edges, found.select("key", "node", F.col("dist").cast("int").alias("hops")))
+        return found.select(F.col("node").alias(node), "hops", "parent")
     pairs = cut(both_ways(edges).distinct())
     ring = cut(seeds.select(F.col(node).cast("long").alias("n")).distinct().withColumn("hops", F.lit(0)).withColumn("parent", F.lit(None).cast("long")))
     rings, before = [ring], ring.select("n").limit(0)
     d = 0
-    while depth is None or d < depth:
+    while d < depth:
         d += 1
         new = pairs.join(ring.select(F.col("n").alias("a")), "a").groupBy("b").agg(F.min("a").alias("parent"))
         new = new.join(before.union(ring.select("n")).select(F.col("n").alias("b")), "b", "left_anti")
@@ -113,16 +119,3 @@ def hops(edges: DataFrame, seeds: DataFrame, depth: int | None = None, node: str
     for r in rings[1:]:
         out = out.union(r)
     return out.withColumnRenamed("n", node)
-
-
-def shortest_paths(edges: DataFrame, source: int, node: str = "n") -> DataFrame:
-    """(node, dist) over undirected weights w >= 0, by rounds of relaxation; only nodes that improved send on."""
-    pairs = cut(both_ways(edges, keep=("w",)).groupBy("a", "b").agg(F.min("w").alias("w")))
-    spark = edges.sparkSession
-    best = front = cut(spark.createDataFrame([(source, 0.0)], "n long, dist double"))
-    while True:
-        sent = front.join(pairs, front["n"] == pairs["a"]).groupBy(F.col("b").alias("n")).agg(F.min(F.col("dist") + F.col("w")).alias("d"))
-        front = cut(sent.join(best, "n", "left").filter(F.col("dist").isNull() | (F.col("d") < F.col("dist"))).select("n", F.col("d").alias("dist")))
-        if front.isEmpty():
-            return best.withColumnRenamed("n", node)
-        best = cut(best.union(front).groupBy("n").agg(F.min("dist").alias("dist")))

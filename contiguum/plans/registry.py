@@ -16,6 +16,7 @@ from ..operators import ports as po
 from ..operators import relax as rx
 from ..operators import ribbons as rb
 from ..operators import scene as sc
+from ..operators import searches as se
 from ..operators.graph import END, AssemblyGraph
 from ..operators.lineage import cut, shared_folder
 from ..sources import bridge, gfa, scene_file
@@ -342,7 +343,51 @@ def shortest_path(spark, d):
     g = graph(spark, d)
     links = po.link_keys(g).select("a", "b", F.lit(po.EXTERNAL_LENGTH).alias("w"))
     inner = g.segments.select((F.col("ord") * 2).alias("a"), (F.col("ord") * 2 + 1).alias("b"), fn.visual_length(F.col("length_bp")).alias("w"))
-    return cc.shortest_paths(links.union(inner), 0, "port").select("port", *r6("dist"))
+    source = spark.createDataFrame([(0, 0)], "key int, node long")
+    return se.distances(links.union(inner), source).select(F.col("node").alias("port"), *r6("dist"))
+
+
+#: Every component's breadth-first search from one node: {0} is the table (key, n) of these nodes.
+SWEEP = """SELECT key, n, 0 AS h FROM {0} UNION SELECT s.key, u.b, s.h + 1 FROM {1} s JOIN u ON u.a = s.n WHERE s.h < 60"""
+TIPS = f"""u AS (SELECT f AS a, t AS b FROM e WHERE f <> t UNION SELECT t, f FROM e WHERE f <> t), r(id, lab) AS (SELECT ord, ord FROM seg UNION SELECT u.b, r.lab FROM r JOIN u ON u.a = r.id WHERE r.lab < u.b),
+k AS (SELECT DISTINCT min(lab) AS key, min(lab) AS n FROM r GROUP BY id), s1(key, n, h) AS ({SWEEP.format("k", "s1")}), b1 AS (SELECT key, n, min(h) AS h FROM s1 GROUP BY ALL),
+t1 AS (SELECT key, arg_min(n, -h * 1000000000::BIGINT + n) AS n FROM b1 GROUP BY key), s2(key, n, h) AS ({SWEEP.format("t1", "s2")}), b2 AS (SELECT key, n, min(h) AS h FROM s2 GROUP BY ALL),
+t2 AS (SELECT key, arg_min(n, -h * 1000000000::BIGINT + n) AS n, max(h) AS h FROM b2 GROUP BY key)"""
+PATH = TIPS + """, up AS (SELECT b2.n, b2.h, min(u.a) AS p FROM b2 JOIN u ON u.b = b2.n JOIN b2 q ON q.n = u.a AND q.h = b2.h - 1 GROUP BY ALL),
+pa(key, place, n) AS (SELECT key, h, n FROM t2 UNION ALL SELECT pa.key, pa.place - 1, up.p FROM pa JOIN up ON up.n = pa.n)"""
+
+
+@query("component_diameter", "{SEG}, {LK}, " + TIPS + " SELECT t1.key AS component, t1.n AS tip, t2.n AS far_end, t2.h AS hops FROM t1 JOIN t2 USING (key)")
+def component_diameter(spark, d):
+    g = graph(spark, d)
+    return se.diameters(g.segments.select("ord"), g.edges_by_ord()).select(F.col("key").alias("component"), "tip", F.col("end").alias("far_end"), "hops")
+
+
+@query("backbone_path", "{SEG}, {LK}, " + PATH + " SELECT key AS component, place, n AS ord FROM pa")
+def backbone_path(spark, d):
+    g = graph(spark, d)
+    return se.backbones(g.segments.select("ord"), g.edges_by_ord()).select(F.col("key").alias("component"), "place", F.col("node").alias("ord"))
+
+
+@query("nearest_backbone", "{SEG}, {LK}, " + PATH + """, s3(key, n, h) AS (SELECT n, n, 0 FROM pa UNION SELECT s3.key, u.b, s3.h + 1 FROM s3 JOIN u ON u.a = s3.n WHERE s3.h < 12),
+m AS (SELECT n, min(h) AS h FROM s3 GROUP BY n) SELECT m.n AS ord, m.h AS hops, min(s3.key) AS root FROM m JOIN s3 ON s3.n = m.n AND s3.h = m.h GROUP BY ALL""")
+def nearest_backbone(spark, d):
+    g = graph(spark, d)
+    return se.nearest_backbone(g.segments.select("ord"), g.edges_by_ord()).select(F.col("node").alias("ord"), "hops", "root")
+
+
+@query("landmark_distances", "{SEG}, {LK}, " + TIPS + """, pe AS (SELECT f * 2 + fs AS a, t * 2 + tsd AS b, 1.0::DOUBLE AS w FROM e UNION ALL SELECT ord * 2, ord * 2 + 1, 1.0::DOUBLE + 0.6::DOUBLE * sqrt(length_bp::DOUBLE) FROM seg),
+x AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM pe UNION ALL SELECT b, a, w FROM pe) q WHERE a <> b GROUP BY ALL), lm AS (SELECT n * 2 AS k FROM t1 UNION SELECT n * 2 FROM t2),
+s(i, k, n, d) AS (SELECT 0, k, k, 0.0::DOUBLE FROM lm UNION ALL SELECT i, k, n, min(d) FROM (SELECT s.i + 1 AS i, s.k, x.b AS n, s.d + x.w AS d FROM s JOIN x ON x.a = s.n WHERE s.i < 90 UNION ALL SELECT i + 1, k, n, d FROM s WHERE i < 90) GROUP BY ALL)
+SELECT k AS landmark, n AS port, round(d, 6) AS dist FROM s WHERE i = 90""")
+def landmark_distances(spark, d):
+    """From the IN ports of both ends of each component's diameter, in one search keyed by the landmark."""
+    g = graph(spark, d)
+    links = po.link_keys(g).select("a", "b", F.lit(po.EXTERNAL_LENGTH).alias("w"))
+    inner = g.segments.select((F.col("ord") * 2).alias("a"), (F.col("ord") * 2 + 1).alias("b"), fn.visual_length(F.col("length_bp")).alias("w"))
+    wide = se.diameters(g.segments.select("ord"), g.edges_by_ord())
+    marks = wide.select(F.explode(F.array("tip", "end")).alias("n")).select((F.col("n") * 2).alias("key"), (F.col("n") * 2).alias("node"))
+    return se.distances(links.union(inner), marks).select(F.col("key").alias("landmark"), F.col("node").alias("port"), *r6("dist"))
 
 
 # scenes and ribbons
