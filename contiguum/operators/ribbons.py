@@ -44,17 +44,29 @@ def mean_chord(contigs: DataFrame, floor: float = 0.0) -> DataFrame:
     return contigs.agg(F.coalesce(F.avg(F.when(size > 0, size).otherwise(floor)), F.lit(1.0)).alias("mean_chord"))
 
 
-def grid_pairs(points: DataFrame, radius: float, others: DataFrame | None = None) -> DataFrame:
+def grid_pairs(points: DataFrame, radius: float, others: DataFrame | None = None, most: int = 2048) -> DataFrame:
     """Pairs (i, j, d) nearer than ``radius``, by an equi-join on grid cells of that size.
 
-    Among one set of points (ord, x, y): each pair once, i < j.  With ``others``: i from points, j from others.
+    Among one set of points (ord, x, y): each pair once, i < j.  With ``others``: i from points, j from others.  A cell with more than ``most`` points is met in
+    blocks: its points fall into parts of about that size, and so do the points that look into it, and each part of one side meets
+    each of the other under a key of its own.  Parts are drawn by number, so points that coincide are split as well.
     """
     cell = lambda c: F.floor(F.col(c) / radius)
     around = F.explode(F.array(*(F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     left = points.select(F.col("ord").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), around.alias("c")).select("i", "xi", "yi", "c.cx", "c.cy")
     right = (points if others is None else others).select(F.col("ord").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), cell("x").alias("cx"), cell("y").alias("cy"))
+    keys = ["cx", "cy"]
+    big = cut(right.groupBy(keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most))
+    if not big.isEmpty():
+        looks = left.join(big, keys).groupBy(keys).agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m"))
+        parts = cut(looks.select(*keys, F.ceil(F.col("m") / most).alias("ways_i"), F.ceil(F.col("n") / most).alias("ways_j")))
+        own = lambda c: F.pmod(F.xxhash64(c), F.coalesce(f"ways_{c}", F.lit(1)))
+        every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"ways_{c}", F.lit(1)) - 1))
+        left = left.join(parts, keys, "left").withColumn("part_i", own("i")).withColumn("part_j", every("j")).drop("ways_i", "ways_j")
+        right = right.join(parts, keys, "left").withColumn("part_j", own("j")).withColumn("part_i", every("i")).drop("ways_i", "ways_j")
+        keys = [*keys, "part_i", "part_j"]
     d2 = F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2)
-    pairs = left.join(right, ["cx", "cy"])
+    pairs = left.join(right, keys)
     if others is None:
         pairs = pairs.filter("i < j")
     return pairs.filter(d2 < radius * radius).select("i", "j", F.sqrt(d2).alias("d"))

@@ -1,6 +1,7 @@
 """Operators against brute force on small inputs."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from contiguum.operators import components, layout, ports, relax, ribbons, scene
 from contiguum.sources import gfa, scene_file
@@ -116,3 +117,30 @@ def test_client_helpers(spark):
     paths = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 5.0, 0.0), (1, 0, 5.0, 1.0)], "ord long, s int, x double, y double")
     assert [r.ord for r in ribbons.pick_box(paths, 6, 2, 4, 0.5).collect()] == [1] and [r.ord for r in ribbons.pick_point(paths, 5, 0.4, 2).collect()] == [0]
     assert ribbons.pick_point(paths, 50, 50, 1).count() == 0
+
+
+def test_a_dense_cell_is_met_in_blocks(spark):
+    """Half of all points in one cell, many of them in one place: pairs as by brute force, and no task with over twice the median."""
+    rng = np.random.default_rng(6)
+    x, y = rng.uniform(0, 60, (2, 1400))
+    x[:700], y[:700] = rng.uniform(30, 31, (2, 700))
+    x[:200], y[:200] = 30.5, 30.25
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "ord long, x double, y double")
+    i, j = np.nonzero(np.triu((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 < 1, 1))
+    want = set(zip(i.tolist(), j.tolist(), strict=True))
+    for most in (2048, 32):
+        got = [(r.i, r.j) for r in ribbons.grid_pairs(df, 1.0, most=most).select("i", "j").collect()]
+        assert set(got) == want and len(got) == len(want)
+    some = df.filter("ord % 3 = 0")
+    both = {(a, b) for a, b in (*want, *((b, a) for a, b in want), *((k, k) for k in range(1400))) if a % 3 == 0}
+    got = [(r.i, r.j) for r in ribbons.grid_pairs(some, 1.0, df, most=32).select("i", "j").collect()]
+    assert set(got) == both and len(got) == len(both)
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+        made = sorted(r["count"] for r in ribbons.grid_pairs(df, 1.0, most=32).groupBy(F.spark_partition_id()).count().collect())
+        whole = max(r["count"] for r in ribbons.grid_pairs(df, 1.0).groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert made[-1] <= 2 * made[len(made) // 2] and whole > 0.9 * len(want)
