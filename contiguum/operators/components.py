@@ -85,6 +85,29 @@ def component_labels(nodes: DataFrame, edges: DataFrame, node: str = "ord", clos
     return cut(own.join(cur, F.col("n") == F.col("u"), "left").select(F.col("n").alias(node), F.coalesce("v", "n").alias("label")))
 
 
+def relabelled(labels: DataFrame, nodes: DataFrame, edges: DataFrame, touched: DataFrame, joined: DataFrame) -> DataFrame:
+    """(ord, label) after edits, from the labels before: what ``component_labels`` says of the new graph.
+
+    ``nodes`` (ord) and ``edges`` (a, b) are those of the new graph; ``touched`` (ord) are nodes that have gone or lost a link, ``joined`` (a, b) the new
+    links.  Only components with a touched node are searched again, and new links are followed between labels.  The other rows are read
+    once, to find the touched ones and to give merged components their new name; they are in no round.
+    """
+    hit = cut(labels.join(touched, "ord", "left_semi").select("label").distinct())
+    rest = labels.join(hit, "label", "left_anti").select("ord", "label")
+    new = nodes.join(labels, "ord", "left_anti").select("ord", F.col("ord").alias("label"))
+    again = cut(labels.join(hit, "label", "left_semi").join(nodes, "ord", "left_semi").select("ord"))
+    inside = edges.join(again.select(F.col("ord").alias("a")), "a", "left_semi").select("a", "b")
+    now = rest.union(component_labels(again, inside)).union(new)
+    at = lambda end: now.select(F.col("ord").alias(end), F.col("label").alias(f"{end}_label"))
+    links = joined.join(at("a"), "a").join(at("b"), "b").filter("a_label <> b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    links = cut(links)
+    if links.isEmpty():
+        return cut(now)
+    names = links.select(F.explode(F.array("a", "b")).alias("ord")).distinct()
+    names = component_labels(names, links, closed=True).select(F.col("ord").alias("label"), F.col("label").alias("to"))
+    return cut(now.join(names, "label", "left").select("ord", F.coalesce("to", "label").alias("label")))
+
+
 def stars(edges: DataFrame) -> bool:
     """Whether each node of (u, v) points at one root: no u twice, and no v that is a u."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e")).select("e.n", "e.up")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EdgeExists, EdgeNotFound, InvalidEdgeEndpoint, NodeExists, NodeNotFound
-from .components import component_labels, hops
+from .components import component_labels, hops, relabelled
 from .lineage import cut, numbered
 
 SEGMENTS = "ord long, id string, length_bp long, coverage double, tags map<string,string>"
@@ -33,11 +33,28 @@ class Patch:
 
 
 class AssemblyGraph:
-    """Segments and links.  Tables are never changed: an edit makes a new graph, whose components are found anew on demand."""
+    """Segments and links.  Tables are never changed: an edit makes a new graph.
+
+    A new graph finds its components on demand.  Where those of the graph before the edit are known, only the ones that the edit touched are searched again.
+    """
 
     def __init__(self, segments: DataFrame, links: DataFrame):
         self.segments, self.links = segments, links
         self.spark: SparkSession = segments.sparkSession
+        self._before: tuple[DataFrame, DataFrame, DataFrame] | None = None
+
+    def _edited(self, segments: DataFrame, links: DataFrame, touched: DataFrame | None = None, joined: DataFrame | None = None) -> AssemblyGraph:
+        """The graph after an edit that took something from the nodes ``touched`` (id) and made the links ``joined`` (a_id, b_id)."""
+        out = AssemblyGraph(segments, links)
+        if "labels" in self.__dict__:
+            at = self.segments.select("ord", "id")
+            gone = at.limit(0).select("ord") if touched is None else at.join(touched.distinct(), "id").select("ord")
+            ends = (at.withColumnRenamed("id", f"{e}_id").withColumnRenamed("ord", e) for e in "ab")
+            new = at.limit(0).select(F.col("ord").alias("a"), F.col("ord").alias("b")) if joined is None else joined
+            for e in ends if joined is not None else ():
+                new = new.join(e, e.columns[1])
+            out._before = self.labels, cut(gone), cut(new.select("a", "b"))
+        return out
 
     # look-ups
 
@@ -109,10 +126,18 @@ class AssemblyGraph:
 
     # components
 
+    @cached_property
+    def labels(self) -> DataFrame:
+        """(ord, label): the first segment of each segment's component."""
+        if self._before is None:
+            return component_labels(self.segments, self.edges_by_ord(), closed=True)
+        labels, touched, joined = self._before
+        return relabelled(labels, self.segments.select("ord"), self.edges_by_ord(), touched, joined)
+
     @cached_property
     def components(self) -> DataFrame:
         """(ord, id, cid): components are numbered by their first segment."""
-        labels = component_labels(self.segments, self.edges_by_ord(), closed=True)
+        labels = self.labels
         roots = labels.filter("ord = label").select("label")
         # one row for each component; ranks by a range sort, not in one task
         cids = numbered(roots, [F.col("label")], "cid")
@@ -153,7 +178,7 @@ class AssemblyGraph:
         if self.has_node(node_id):
             raise NodeExists(node_id)
         row = self.spark.createDataFrame([(self._next(self.segments), node_id, length_bp, coverage, tags or {})], SEGMENTS)
-        return AssemblyGraph(self.segments.unionByName(row), self.links), self._patch([("add", "node", node_id)], True)
+        return self._edited(self.segments.unionByName(row), self.links), self._patch([("add", "node", node_id)], True)
 
     def update_nodes(self, edits: DataFrame) -> AssemblyGraph:
         """Edits (id, length_bp, coverage, tags): values that are not null replace the old ones; ids must exist."""
@@ -163,7 +188,7 @@ class AssemblyGraph:
         names = ("length_bp", "coverage", "tags")
         new = edits.select("id", *(F.col(c).alias(f"new_{c}") for c in names))
         merged = self.segments.join(new, "id", "left")
-        return AssemblyGraph(merged.select("ord", "id", *(F.coalesce(f"new_{c}", c).alias(c) for c in names)), self.links)
+        return self._edited(merged.select("ord", "id", *(F.coalesce(f"new_{c}", c).alias(c) for c in names)), self.links)
 
     def update_node(self, node_id: str, length_bp: int | None = None, coverage: float | None = None, tags: dict | None = None) -> tuple[AssemblyGraph, Patch]:
         row = self.spark.createDataFrame([(node_id, length_bp, coverage, tags)], "id string, length_bp long, coverage double, tags map<string,string>")
@@ -180,7 +205,8 @@ class AssemblyGraph:
         # a node's links go first, in the order of their ids
         both = lost.select(F.lit("edge").alias("kind"), "id").union(gone.select(F.lit("node").alias("kind"), "id"))
         changes = numbered(both.withColumn("op", F.lit("remove")), [F.col("kind"), F.col("id")], "seq")
-        return AssemblyGraph(self.segments.join(gone, "id", "left_anti").select(self.segments.columns), edges), Patch(changes.select("seq", "op", "kind", "id"), True)
+        left = self._edited(self.segments.join(gone, "id", "left_anti").select(self.segments.columns), edges, touched=gone)
+        return left, Patch(changes.select("seq", "op", "kind", "id"), True)
 
     def _without(self, gone: DataFrame) -> DataFrame:
         links = self.links
@@ -196,7 +222,8 @@ class AssemblyGraph:
             raise EdgeExists(edge_id)
         self._must_exist(start, end)
         row = self.spark.createDataFrame([(self._next(self.links), edge_id, start, end, overlap, tags or {})], LINKS)
-        return AssemblyGraph(self.segments, self.links.unionByName(row)), self._patch([("add", "edge", edge_id)], True)
+        pair = self.spark.createDataFrame([(start[0], end[0])], "a_id string, b_id string")
+        return self._edited(self.segments, self.links.unionByName(row), joined=pair), self._patch([("add", "edge", edge_id)], True)
 
     def _must_exist(self, *ends: tuple[str, str] | None) -> None:
         for e in ends:
@@ -204,8 +231,9 @@ class AssemblyGraph:
                 raise InvalidEdgeEndpoint(str(e))
 
     def remove_edge(self, edge_id: str) -> tuple[AssemblyGraph, Patch]:
-        self.get_edge(edge_id)
-        return AssemblyGraph(self.segments, self.links.filter(F.col("id") != edge_id)), self._patch([("remove", "edge", edge_id)], True)
+        old = self.get_edge(edge_id)
+        end = self.spark.createDataFrame([(old["start"]["node_id"],)], "id string")
+        return self._edited(self.segments, self.links.filter(F.col("id") != edge_id), touched=end), self._patch([("remove", "edge", edge_id)], True)
 
     def reconnect_edges(self, edits: DataFrame) -> AssemblyGraph:
         """Edits (id, new_start, new_end) of existing links; a null end stays, and so do the ids."""
@@ -217,7 +245,10 @@ class AssemblyGraph:
         if loose:
             raise InvalidEdgeEndpoint(loose[0]["id"])
         merged = self.links.join(edits.select("id", "new_start", "new_end"), "id", "left")
-        return AssemblyGraph(self.segments, merged.select("ord", "id", F.coalesce("new_start", "start").alias("start"), F.coalesce("new_end", "end").alias("end"), "overlap", "tags"))
+        new = merged.select("ord", "id", F.coalesce("new_start", "start").alias("start"), F.coalesce("new_end", "end").alias("end"), "overlap", "tags")
+        moved = edits.select("id")
+        ends = self.links.join(moved, "id", "left_semi").select(F.col("start.node_id").alias("id"))
+        return self._edited(self.segments, new, ends, new.join(moved, "id", "left_semi").select(F.col("start.node_id").alias("a_id"), F.col("end.node_id").alias("b_id")))
 
     def reconnect_edge_end(self, edge_id: str, new_start: tuple[str, str] | None = None, new_end: tuple[str, str] | None = None) -> tuple[AssemblyGraph, Patch]:
         self.get_edge(edge_id)
