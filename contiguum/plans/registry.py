@@ -393,6 +393,18 @@ def landmark_distances(spark, d):
 # scenes and ribbons
 
 
+@query("tightest_boxes", """{SEG}, {LK}, {COMP}, {CON}, {PT}, p AS (SELECT DISTINCT comp.cid, x, y FROM pt JOIN comp ON comp.ord = pt.k // 2),
+h AS (SELECT a.cid, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM p a JOIN p b ON b.cid = a.cid AND (b.x <> a.x OR b.y <> a.y)),
+b AS (SELECT h.cid, min(h.dx * (p.y - h.ay) - h.dy * (p.x - h.ax)) AS side, (max(p.x * h.dx + p.y * h.dy) - min(p.x * h.dx + p.y * h.dy)) * (max(p.y * h.dx - p.x * h.dy) - min(p.y * h.dx - p.x * h.dy)) / (h.dx * h.dx + h.dy * h.dy) AS area
+ FROM h JOIN p ON p.cid = h.cid GROUP BY h.cid, h.ax, h.ay, h.dx, h.dy)
+SELECT cid, round(min(area), 4) AS area FROM b WHERE side > -0.0000001::DOUBLE GROUP BY cid""")
+def tightest_boxes(spark, d):
+    """The smallest bounding box of each component's ribbons."""
+    g = graph(spark, d)
+    points = port_points(contigs(spark, d)).withColumn("ord", F.shiftright("key", 1)).join(g.components.select("ord", "cid"), "ord")
+    return lay.tightest_boxes(points.select("cid", "x", "y")).select("cid", F.round("area", 4).alias("area"))
+
+
 SCENE_CONTIGS = """{SEG}, {LK}, {COMP} SELECT seg.ord, seg.id, comp.cid % 20 AS color, round(((seg.ord % 100) * 20.0::DOUBLE)::FLOAT::DOUBLE, 3) AS in_x, round(((seg.ord // 100) * 20.0::DOUBLE)::FLOAT::DOUBLE, 3) AS in_y,
  round(((seg.ord % 100) * 20.0::DOUBLE + 1.0::DOUBLE + 0.6::DOUBLE * sqrt(length_bp::DOUBLE))::FLOAT::DOUBLE, 3) AS out_x,
  round(((seg.ord // 100) * 20.0::DOUBLE)::FLOAT::DOUBLE, 3) AS out_y,

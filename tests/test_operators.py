@@ -144,3 +144,23 @@ def test_a_dense_cell_is_met_in_blocks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert made[-1] <= 2 * made[len(made) // 2] and whole > 0.9 * len(want)
+
+
+def test_hulls_of_parts_are_the_hull(spark):
+    """Partial hulls, in several rounds, against the hull of all points; a circle, where every point is a corner; lines, single and repeated points."""
+    rng = np.random.default_rng(3)
+    turn = np.linspace(0, 2 * np.pi, 300, endpoint=False)
+    shapes = {1: rng.normal(size=(4000, 2)), 2: np.stack([np.cos(turn), np.sin(turn)], 1), 3: np.outer(np.arange(50.0), [1.0, 2.0]), 4: np.ones((3, 2)), 5: rng.integers(0, 4, (200, 2)).astype(float)}
+    rows = [(c, float(x), float(y)) for c, pts in shapes.items() for x, y in pts]
+    df = spark.createDataFrame([*rows, (1, float("nan"), 0.0), (1, float("inf"), 0.0), (6, None, 1.0)], "cid long, x double, y double").repartition(9)
+    for most in (100_000, 40):
+        got: dict = {}
+        for r in layout.hulls(df, most).collect():
+            got.setdefault(r.cid, set()).add((r.x, r.y))
+        assert got == {c: set(map(tuple, layout.hull(pts).tolist())) for c, pts in shapes.items()}
+    boxes = {r.cid: r for r in layout.tightest_boxes(df, 40).collect()}
+    for c, pts in shapes.items():
+        sweep = min(np.prod(np.ptp(layout.turned(pts, a), axis=0)) for a in np.linspace(0, np.pi / 2, 721))
+        assert boxes[c].area <= sweep + 1e-9 and abs(np.prod(np.ptp(layout.turned(pts, boxes[c].angle), axis=0)) - boxes[c].area) < 1e-9
+    assert boxes[5].area == 9.0 and abs(boxes[3].area) < 1e-9 and boxes[4].area == 0
+    assert layout.hulls(df.limit(0)).count() == 0
