@@ -56,6 +56,10 @@ def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("seq"), kind.alias("kind"), F.col("user_id").alias("key"), F.col("value").alias("v0"), (F.when(F.col("event_id") % 3 == 0, -1.0).otherwise(1.0)).alias("v1"))
 
 
+def r5(*names: str):
+    return [F.round(F.col(n).cast("double"), 5).alias(n) for n in names]
+
+
 def r6(*names: str):
     return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
 
@@ -507,6 +511,30 @@ def pinned_rests(spark, d):
     return rx.pinned_rests(port_points(contigs(spark, d)), links, first).select("link", F.round("rest", 5).alias("rest"))
 
 
+@query("drag_edits", """{SEG}, {LK}, {CON}, {PT}, {LOG}, q AS (SELECT *, in_x + (out_x - in_x) * (ord % 13) / 12.0::DOUBLE AS px, in_y + 0.75::DOUBLE AS py, (ord % 5 - 2)::DOUBLE AS dx, (ord % 3 - 1)::DOUBLE AS dy FROM con),
+g AS (SELECT ord AS gesture, dx, dy, ord * 2 + CASE WHEN (px - out_x) ** 2 + (py - out_y) ** 2 < (px - in_x) ** 2 + (py - in_y) ** 2 THEN 1 ELSE 0 END AS key FROM q),
+ov AS (SELECT k, arg_max(v0, seq) AS x0, arg_max(v1, seq) AS y0 FROM lg2 WHERE kind = 'move_port' GROUP BY k), n AS (SELECT ord AS link, f * 2 + fs AS a, t * 2 + tsd AS b FROM e),
+w AS (SELECT link, a AS key, b AS other FROM n UNION SELECT link, b, a FROM n)
+SELECT gesture, 'move_port' AS kind, key, round(coalesce(x0, 0) + dx, 5) AS v0, round(coalesce(y0, 0) + dy, 5) AS v1 FROM g LEFT JOIN ov ON ov.k = g.key
+UNION ALL SELECT gesture, 'link_rest', link, round(CASE WHEN other = w.key THEN 0.0::DOUBLE ELSE sqrt((p.x + dx - r.x) ** 2 + (p.y + dy - r.y) ** 2) END, 5), NULL FROM g JOIN w ON w.key = g.key JOIN pt p ON p.k = w.key JOIN pt r ON r.k = w.other""")
+def drag_edits(spark, d):
+    """Each contig's nearest port dragged with Ctrl: moves on top of the log's, and lengths kept for the port's links."""
+    c, g = contigs(spark, d), graph(spark, d)
+    at = (F.col("in_x") + (F.col("out_x") - F.col("in_x")) * (F.col("ord") % 13) / 12.0).alias("px"), (F.col("in_y") + 0.75).alias("py")
+    drag = c.select(F.col("ord").alias("gesture"), F.col("ord").alias("contig"), *at, (F.col("ord") % 5 - 2).cast("double").alias("dx"), (F.col("ord") % 3 - 1).cast("double").alias("dy"), F.lit(True).alias("ctrl"))
+    made, _ = rx.drags(c, po.link_keys(g), drag, edit_log(spark, d), rx.ForceParams(enabled=False))
+    return made.select("gesture", "kind", "key", *r5("v0", "v1"))
+
+
+@query("drag_cloud")
+def drag_cloud(spark, d):
+    """A plain drag of every contig that the edit log moves a port of: two layers relax around it."""
+    c, g = contigs(spark, d), graph(spark, d)
+    moves = ed.port_moves(edit_log(spark, d)).groupBy(F.shiftright("key", 1).alias("ord")).agg(F.max("dx").alias("dx"), F.max("dy").alias("dy"))
+    drag = c.join(moves, "ord").select(F.col("ord").alias("gesture"), F.col("ord").alias("contig"), ((F.col("in_x") + F.col("out_x")) / 2).alias("px"), ((F.col("in_y") + F.col("out_y")) / 2).alias("py"), "dx", "dy", F.lit(False).alias("ctrl"))
+    return rx.drags(c, po.link_keys(g), drag, edit_log(spark, d), rx.ForceParams(layers=2))[1].select("gesture", "key", *r6("x", "y"))
+
+
 # the edit log
 
 

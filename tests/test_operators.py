@@ -113,7 +113,7 @@ def test_first_ids_and_datasets(spark, tiny, tmp_path):
 
 def test_client_helpers(spark):
     assert ribbons.start_indices(3, 4) == [0, 4, 8, 12] and [ribbons.zone_samples(12, z) for z in range(3)] == [(0, 2), (2, 9), (9, 11)]
-    assert [relax.drag_mode(*a) for a in ((True, 1, True), (False, 1, True), (False, 1, False), (False, 0, False))] == ["port", "cloud", "contig", "port"]
+    assert [relax.drag_mode(*a) for a in ((True, 1, True), (False, 1, True), (False, 1, False), (False, 0, False))] == ["port", "cloud", "port", "port"]
     paths = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 5.0, 0.0), (1, 0, 5.0, 1.0)], "ord long, s int, x double, y double")
     assert [r.ord for r in ribbons.pick_box(paths, 6, 2, 4, 0.5).collect()] == [1] and [r.ord for r in ribbons.pick_point(paths, 5, 0.4, 2).collect()] == [0]
     assert ribbons.pick_point(paths, 50, 50, 1).count() == 0
@@ -164,3 +164,49 @@ def test_hulls_of_parts_are_the_hull(spark):
         assert boxes[c].area <= sweep + 1e-9 and abs(np.prod(np.ptp(layout.turned(pts, boxes[c].angle), axis=0)) - boxes[c].area) < 1e-9
     assert boxes[5].area == 9.0 and abs(boxes[3].area) < 1e-9 and boxes[4].area == 0
     assert layout.hulls(df.limit(0)).count() == 0
+
+
+def test_drags(spark):
+    """All ways to drag, against the pieces put together by hand."""
+    n = 12
+    contigs = spark.createDataFrame([(k, 10.0 * k, 0.0, 10.0 * k + 6, 1.0) for k in range(n)], "ord long, in_x double, in_y double, out_x double, out_y double").cache()
+    pairs = [(2 * k + 1, 2 * k + 2) for k in range(n - 1) if k != 7] + [(1, 5), (3, 3)]
+    links = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "ord long, a long, b long").cache()
+    log = spark.createDataFrame([(1, "move_port", 3, 0.5, 0.25), (2, "link_rest", 3, 2.5, None), (3, "select", 9, None, None), (4, "add", 11, None, None)], "seq long, kind string, key long, v0 double, v1 double")
+    spot = {0: 0.0, 1: 3.0, 2: 6.0}
+    made = [(1, 1, 2, True), (2, 4, 1, False), (3, 4, 0, False), (4, 4, 2, False), (5, 9, 0, False), (6, 0, 0, True)]
+    gestures = spark.createDataFrame([(g, c, 10.0 * c + spot[z], spot[z] / 6, 1.5, -2.0, ctrl) for g, c, z, ctrl in made], "gesture long, contig long, px double, py double, dx double, dy double, ctrl boolean")
+    at = {2 * k + s: (10.0 * k + 6 * s, float(s)) for k in range(n) for s in (0, 1)}
+    p = relax.ForceParams(layers=2)
+    edits, live = relax.drags(contigs, links, gestures, log, p)
+    length = lambda a, b: np.hypot(at[a][0] + 1.5 - at[b][0], at[a][1] - 2 - at[b][1])
+    want = {(1, "move_port", 3, 2.0, -1.75), (6, "move_port", 0, 1.5, -2.0), (1, "link_rest", 1, round(length(3, 4), 9), None), (1, "link_rest", len(pairs) - 1, 0.0, None)}
+    assert {(r.gesture, r.kind, r.key, round(r.v0, 9), r.v1) for r in edits.collect()} == want
+    near = {k: {x // 2 for q in pairs for x in q if k in (q[0] // 2, q[1] // 2)} - {k} for k in range(n)}
+
+    def around(seeds):
+        out = set(seeds)
+        for _ in range(2):
+            out |= set().union(*(near[k] for k in out))
+        return out
+
+    regions, pins = {}, {}
+    for g, c, z, ctrl in made:
+        if not ctrl:
+            seeds = {9, 11} if c == 9 else {c}
+            keys = [2 * c + z // 2] if c != 9 and z != 1 else [2 * s + e for s in seeds for e in (0, 1)]
+            regions[g], pins[g] = around(seeds) - (set() if len(keys) == 1 else seeds), {k: (at[k][0] + 1.5, at[k][1] - 2) for k in keys}
+    ports_ = spark.createDataFrame([(k, *v) for k, v in at.items()], "key long, x double, y double")
+    area = spark.createDataFrame([(g, c) for g, cs in regions.items() for c in cs], "gesture long, contig long")
+    held = spark.createDataFrame([(g, k, *v) for g, ks in pins.items() for k, v in ks.items()], "gesture long, key long, x double, y double")
+    rests = spark.createDataFrame([(3, 2.5)], "link long, rest double")
+    args = ports_, links, ports.junctions(links), area, held, ribbons.mean_chord(contigs).first()[0], p
+    hand = {(r.gesture, r.key): (r.x, r.y) for r in relax.relax_local(*args, rests).collect()}
+    got = {(r.gesture, r.key): (r.x, r.y) for r in live.collect()}
+    assert {k: v for k, v in got.items() if k in hand} == hand
+    assert {k: v for k, v in got.items() if k not in hand} == {(g, k): v for g in (2, 5) for k, v in pins[g].items()}
+    assert got[3, 8] == pins[3][8] and got[4, 9] == pins[4][9] and got[3, 9] != at[9]
+    free = {(r.gesture, r.key): (r.x, r.y) for r in relax.relax_local(*args).collect()}
+    assert free != hand  # a length that was set pulls
+    off, none = relax.drags(contigs, links, gestures, log, relax.ForceParams(enabled=False))
+    assert {r.gesture for r in off.filter("kind = 'move_port'").collect()} == {1, 2, 3, 4, 5, 6} and {r.gesture for r in off.filter("kind = 'link_rest'").collect()} == {1} and none.count() == 0
