@@ -6,7 +6,6 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.gfa import valid_dataset_name
 from ..operators.graph import AssemblyGraph
@@ -116,8 +115,3 @@ def stateless_scene(spark: SparkSession, folder: str, name: str) -> bytes:
 
 def health() -> dict:
     return {"status": "ok"}
-
-
-def gestures_of(contigs: DataFrame, every: int) -> DataFrame:
-    """Deterministic gestures for tests and benches: each ``every``-th contig is dragged."""
-    return contigs.filter(F.col("ord") % every == 0).select(F.col("ord").alias("gesture"), F.col("ord").alias("contig"))
