@@ -19,7 +19,7 @@ from ..operators import scene as sc
 from ..operators import searches as se
 from ..operators.graph import END, AssemblyGraph
 from ..operators.lineage import cut, shared_folder
-from ..sources import bridge, gfa, scene_file
+from ..sources import bridge, gfa, gfa_source, scene_file
 
 _GRAPHS: dict[tuple[str, str], AssemblyGraph] = {}
 
@@ -128,6 +128,14 @@ def gfa_segments(spark, d):
     return graph(spark, d).segments.select("ord", "id", "length_bp", "coverage")
 
 
+@query("gfa_source", "{SEG} SELECT ord, id, length_bp, coverage FROM seg")
+def source_segments(spark, d):
+    """Segments by the data source: the graph's text as files, of which only S lines are decoded."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    lines(spark, d).repartitionByRange("line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return gfa_source.read_segments(spark, path, suffix=".txt").select("ord", "id", "length_bp", "coverage")
+
+
 @query("gfa_tags", "{SEG} SELECT id, 'LN' AS tag, concat('i:', length_bp) AS v FROM seg UNION ALL SELECT id, 'dp', concat('f:', coverage) FROM seg WHERE coverage IS NOT NULL")
 def gfa_tags(spark, d):
     return graph(spark, d).segments.select("id", F.explode("tags").alias("tag", "v"))

@@ -66,8 +66,8 @@ def lines_between(f, start: int, end: int, chunk: int = CHUNK) -> Iterator[tuple
 
 
 class GfaReader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.path, self.split = path, split
+    def __init__(self, path: str, split: int, suffix: str = ".gfa"):
+        self.path, self.split, self.suffix = path, split, suffix
         self.records: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 - Spark's name
@@ -86,7 +86,7 @@ class GfaReader(DataSourceReader):
         if info.type == pa.fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         if info.type == pa.fs.FileType.Directory:
-            found = [x for x in fs.get_file_info(pa.fs.FileSelector(name)) if x.is_file and x.path.endswith(".gfa")]
+            found = [x for x in fs.get_file_info(pa.fs.FileSelector(name)) if x.is_file and x.path.endswith(self.suffix)]
             files = [(f"{self.path.rstrip('/')}/{x.base_name}", x.size) for x in sorted(found, key=lambda x: x.path)]
         else:
             files = [(self.path, info.size)]
@@ -121,7 +121,7 @@ class GfaReader(DataSourceReader):
 
 
 class GfaSource(DataSource):
-    """Options: ``path`` (a file, or a folder of ``.gfa`` files) and ``split`` (bytes of a range, 64 MB)."""
+    """Options: ``path`` (a file, or a folder), ``suffix`` (of the folder's files that count, ``.gfa``) and ``split`` (bytes of a range, 64 MB)."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,7 +131,7 @@ class GfaSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> GfaReader:
-        return GfaReader(self.options["path"], int(self.options.get("split", 64 << 20)))
+        return GfaReader(self.options["path"], int(self.options.get("split", 64 << 20)), self.options.get("suffix", ".gfa"))
 
 
 def register(spark: SparkSession) -> None:
@@ -142,9 +142,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(GfaSource)
 
 
-def lines(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFrame:
+def lines(spark: SparkSession, path: str, split: int = 64 << 20, suffix: str = ".gfa") -> DataFrame:
     register(spark)
-    return spark.read.format("gfa").option("split", split).load(path)
+    return spark.read.format("gfa").option("split", split).option("suffix", suffix).load(path)
 
 
 def read_gfa(spark: SparkSession, path: str, mode: str = "FAILFAST", split: int = 64 << 20) -> AssemblyGraph:
@@ -157,8 +157,8 @@ def read_gfa(spark: SparkSession, path: str, mode: str = "FAILFAST", split: int
     return graph_from_lines(at.select((F.col("line_no") + 1).alias("line_no"), "value"), mode)
 
 
-def read_segments(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFrame:
+def read_segments(spark: SparkSession, path: str, split: int = 64 << 20, suffix: str = ".gfa") -> DataFrame:
     """(ord, id, length_bp, coverage, tags) of well-formed S lines; links are not even decoded."""
-    rows = numbered(lines(spark, path, split).filter("record = 'S'"), [F.col("file"), F.col("at")])
+    rows = numbered(lines(spark, path, split, suffix).filter("record = 'S'"), [F.col("file"), F.col("at")])
     return cut(parsed(rows.select("ord", "record", "value")).filter("fault IS NULL").select("ord", "id", "length_bp", "coverage", "tags"))
 
