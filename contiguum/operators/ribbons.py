@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -248,3 +250,74 @@ def pick_point(paths: DataFrame, x: float, y: float, radius: float) -> DataFrame
     """The contig with the nearest path point within ``radius``: at most one row."""
     d = F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2)
     return paths.filter(d <= radius * radius).orderBy(d, "ord").limit(1).select("ord")
+
+
+#: Bits of a code for each axis.
+CODE_BITS = 16
+
+
+def _spread(v: Column) -> Column:
+    """A number below 2^16 with a zero bit ahead of each of its bits."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return v
+
+
+def code_ranges(x0: int, y0: int, x1: int, y1: int, most: int = 64) -> list[tuple[int, int]]:
+    """Ranges of Morton codes that cover the cells x0..x1, y0..y1: squares of the quadtree, split largest first until there are ``most``, neighbours joined."""
+    inside: list[tuple[int, int]] = []
+    open_ = [(CODE_BITS, 0, 0)]
+    while open_ and len(open_) + len(inside) < most:
+        open_.sort()
+        level, a, b = open_.pop()
+        if level == 0:
+            open_.append((level, a, b))
+            break
+        half = 1 << (level - 1)
+        for p, q in ((a, b), (a + half, b), (a, b + half), (a + half, b + half)):
+            if p > x1 or q > y1 or p + half <= x0 or q + half <= y0:
+                continue
+            whole = x0 <= p and y0 <= q and p + half - 1 <= x1 and q + half - 1 <= y1
+            (inside if whole else open_).append((level - 1, p, q))
+    plain = lambda v: sum((v >> k & 1) << 2 * k for k in range(CODE_BITS))
+    starts = sorted((plain(p) | plain(q) << 1, 1 << 2 * level) for level, p, q in (*inside, *open_))
+    out: list[tuple[int, int]] = []
+    for start, size in starts:
+        if out and out[-1][1] + 1 == start:
+            out[-1] = out[-1][0], start + size - 1
+        else:
+            out.append((start, start + size - 1))
+    return out
+
+
+class PathIndex:
+    """Path points in the order of their Morton codes, written so that a pick reads only files and row groups near it."""
+
+    def __init__(self, paths: DataFrame, parts: int | None = None):
+        """paths (ord, x, y); points without two finite numbers cannot be picked.  ``parts``: files, the session's partitions if not given."""
+        good = paths.filter("abs(x) < double('inf') AND abs(y) < double('inf')")
+        box = good.agg(*(f(c).cast("double") for c in "xy" for f in (F.min, F.max))).first()
+        self.low = box[0] or 0.0, box[2] or 0.0
+        self.scale = tuple(((1 << CODE_BITS) - 1) / ((hi - lo) or 1.0) if lo is not None else 1.0 for lo, hi in ((box[0], box[1]), (box[2], box[3])))
+        cell = lambda c, k: F.floor((F.col(c) - self.low[k]) * self.scale[k]).cast("long")
+        code = _spread(cell("x", 0)).bitwiseOR(F.shiftleft(_spread(cell("y", 1)), 1))
+        parts = parts or int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.points = cut(good.select("ord", "x", "y", code.alias("code")).repartitionByRange(parts, "code").sortWithinPartitions("code"))
+
+    def near(self, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+        """Points whose codes are among those that cover the rectangle."""
+        top = (1 << CODE_BITS) - 1
+        at = lambda v, k: min(max(math.floor((v - self.low[k]) * self.scale[k]), -1), top + 1)
+        cells = [at(v, k) for v, k in ((x0, 0), (y0, 1), (x1, 0), (y1, 1))]
+        ranges = code_ranges(*cells) if cells[0] <= top and cells[1] <= top and cells[2] >= 0 and cells[3] >= 0 else []
+        found = reduce(lambda a, b: a | b, [F.col("code").between(a, b) for a, b in ranges], F.lit(False))
+        return self.points.filter(found).select("ord", "x", "y")
+
+    def pick_box(self, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+        """Contigs with a path point in the rectangle."""
+        box = min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)
+        return pick_box(self.near(*box), *box)
+
+    def pick_point(self, x: float, y: float, radius: float) -> DataFrame:
+        """The contig with the nearest path point within ``radius``: at most one row."""
+        return pick_point(self.near(x - radius, y - radius, x + radius, y + radius), x, y, radius)

@@ -512,6 +512,13 @@ def grab_zone(spark, d):
     return c.withColumn("px", px).withColumn("py", F.col("in_y") + 0.75).select("ord", rb.grab_zone().alias("zone"), rb.nearest_side().alias("side"))
 
 
+@query("pick_box", "{SEG}, {CON}, {PT} SELECT DISTINCT k // 2 AS ord FROM pt WHERE x BETWEEN 190 AND 905 AND y BETWEEN 95 AND 1411")
+def pick_box(spark, d):
+    """Contigs with a port in a rectangle, by an index on Morton codes."""
+    points = port_points(contigs(spark, d)).select(F.shiftright("key", 1).alias("ord"), "x", "y")
+    return rb.PathIndex(points).pick_box(190, 1411, 905, 95)
+
+
 @query("pinned_rests", "{SEG}, {LK}, {CON}, {PT} SELECT ord AS link, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 5) AS rest FROM e JOIN pt p ON p.k = f * 2 + fs JOIN pt q ON q.k = t * 2 + tsd WHERE (SELECT min(f * 2 + fs) FROM e) IN (f * 2 + fs, t * 2 + tsd)")
 def pinned_rests(spark, d):
     links = po.link_keys(graph(spark, d))

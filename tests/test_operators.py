@@ -210,3 +210,42 @@ def test_drags(spark):
     assert free != hand  # a length that was set pulls
     off, none = relax.drags(contigs, links, gestures, log, relax.ForceParams(enabled=False))
     assert {r.gesture for r in off.filter("kind = 'move_port'").collect()} == {1, 2, 3, 4, 5, 6} and {r.gesture for r in off.filter("kind = 'link_rest'").collect()} == {1} and none.count() == 0
+
+
+def test_code_ranges_cover_their_cells():
+    rng = np.random.default_rng(2)
+    plain = lambda v: sum((int(v) >> k & 1) << 2 * k for k in range(16))
+    for most in (1, 7, 64):
+        for _ in range(30):
+            (x0, x1), (y0, y1) = (sorted(rng.integers(0, 1 << 16, 2).tolist()) for _ in range(2))
+            got = ribbons.code_ranges(x0, y0, x1, y1, most)
+            assert len(got) <= most + 3 and all(a <= b for a, b in got) and all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
+            for _ in range(40):
+                code = plain(rng.integers(x0, x1 + 1)) | plain(rng.integers(y0, y1 + 1)) << 1
+                assert any(a <= code <= b for a, b in got)
+
+
+def test_picks_by_code_read_little(spark):
+    """Picks equal those of a full scan, and a small one reads a few of 32 files."""
+    rng = np.random.default_rng(9)
+    pts = [(k // 12, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-500, 1500, (24_000, 2)))]
+    df = spark.createDataFrame([*pts, (9999, None, 1.0), (9998, float("nan"), 2.0)], "ord long, x double, y double")
+    index = ribbons.PathIndex(df, 32)
+    for _ in range(4):
+        x, y = rng.uniform(-600, 1600, 2).tolist()
+        w, h = rng.uniform(0, 300, 2).tolist()
+        want = {o for o, a, b in pts if x <= a <= x + w and y - h <= b <= y}
+        assert {r.ord for r in index.pick_box(x + w, y - h, x, y).collect()} == want
+        assert [r.ord for r in index.pick_point(x, y, w).collect()] == [r.ord for r in ribbons.pick_point(df, x, y, w).collect()]
+    assert index.pick_box(-9e9, -9e9, 9e9, 9e9).count() == 2000 and index.pick_box(2000, 0, 3000, 9).count() == 0 and index.pick_point(1e9, 0, 5).count() == 0
+    files = {r.f: r.n for r in index.points.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        small = index.near(100, 100, 130, 130)
+        small.collect()
+        scan = small._jdf.queryExecution().executedPlan().collectLeaves().head()
+        read = scan.metrics().apply("numOutputRows").value()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(files) == 32 and 0 < read <= 4 * max(files.values()) < 24_000 / 4
+    assert ribbons.PathIndex(df.limit(0)).pick_point(0, 0, 1).count() == 0
