@@ -249,3 +249,10 @@ def test_picks_by_code_read_little(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(files) == 32 and 0 < read <= 4 * max(files.values()) < 24_000 / 4
     assert ribbons.PathIndex(df.limit(0)).pick_point(0, 0, 1).count() == 0
+
+
+def test_styles(spark):
+    """Hovered wins over selected in colour, both are wider; the rest stays as it is."""
+    rows = spark.createDataFrame([(k, 2.0, 1, 2, 3, 255) for k in range(4)], "ord long, width double, r short, g short, b short, a short")
+    got = {r.ord: tuple(r)[1:] for r in ribbons.styled(rows, F.col("ord") == 1, F.col("ord").isin(1, 2)).collect()}
+    assert got == {0: (2.0, 1, 2, 3, 255), 3: (2.0, 1, 2, 3, 255), 1: (3.2, 255, 240, 150, 255), 2: (3.2, 255, 80, 80, 255)}
