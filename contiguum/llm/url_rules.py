@@ -5,6 +5,8 @@ All of it is DataFrame and SQL functions; FP-growth is Spark's own.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,14 +66,60 @@ def signed(baskets: DataFrame, need: int) -> DataFrame:
     return counted.select("token", "c", "b", F.min("token").over(same).alias("cls"))
 
 
-def mine(scratch: Scratch, baskets: DataFrame, support: float, confidence: float, least: int, items: int, longest: int) -> DataFrame | None:
-    """Smallest token sets that imply the bad label: rows (rule, need, item, token), where any token of its class stands for an item.
+def projected(scratch: Scratch, rows: DataFrame, need: int, confidence: float) -> tuple[DataFrame, DataFrame]:
+    """One item more in front: of rows (prefix, key, bad, items) the projections by each of their items, and the rules among them.
+
+    ``items`` ascend by frequency; a projection holds the pages that have the prefix, with what follows its last item.  There an
+    item is left out if fewer than ``need`` bad pages have it (no set with it can be a rule), if it makes a rule with the
+    prefix (larger sets match nothing more) or if all pages of the projection have it (with or without it a set is in the same pages).
+    """
+    child = rows.select("key", "bad", "prefix", "items", F.posexplode("items").alias("at", "next"))
+    child = child.select("key", "bad", F.concat("prefix", F.array("next")).alias("prefix"), F.slice("items", F.col("at") + 2, F.greatest(F.size("items"), F.lit(1))).alias("items"))
+    child = scratch.save(child, "projected")
+    total = child.groupBy("prefix").agg(F.count(F.lit(1)).alias("pages"))
+    each = child.select("prefix", "bad", F.explode("items").alias("token")).groupBy("prefix", "token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("bad").cast("long")).alias("b"))
+    each = scratch.save(each.filter(F.col("b") >= need).join(total, "prefix"), "extensions")
+    is_rule = F.col("b") >= confidence * F.col("c")
+    rules = each.filter(is_rule).select(F.concat("prefix", F.array("token")).alias("items"))
+    open_ = each.filter(~is_rule & (F.col("c") < F.col("pages"))).groupBy("prefix").agg(F.collect_list("token").alias("open"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    kept = child.withColumn("salt", salted("key")).join(open_.withColumn("salt", salts), ["prefix", "salt"])
+    kept = kept.select("prefix", "key", "bad", F.array_intersect("items", "open").alias("items")).filter(F.size("items") > 0)
+    return kept, rules
+
+
+def grown(scratch: Scratch, rows: DataFrame, need: int, confidence: float) -> DataFrame | None:
+    """Rules of two items and more within projections: FP-growth over all of them at once, as items carry their prefix.
+
+    A rule is dropped if a part of it is a rule of the same projection.
+    """
+    n = rows.count()
+    if not n:
+        return None
+    named = F.transform("items", lambda x: F.to_json(F.struct(F.col("prefix").alias("p"), x.alias("t"))))
+    baskets = rows.select(F.when(F.col("bad"), F.concat(named, F.array(F.lit(BAD)))).otherwise(named).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (need - 0.5) / n)).fit(baskets).freqItemsets
+    sets = sets.select(F.array_sort(F.array_remove("items", BAD)).alias("items"), F.array_contains("items", BAD).alias("bad"), "freq").filter(F.size("items") > 1)
+    sets = scratch.save(sets, "sets")
+    bad = sets.filter("bad").select("items", F.col("freq").alias("b"))
+    found = sets.filter("not bad").join(bad, "items").filter((F.col("b") >= need) & (F.col("b") >= confidence * F.col("freq"))).select("items")
+    parts = F.expr("transform(sequence(1, shiftleft(1, size(items)) - 2), m -> filter(items, (x, i) -> getbit(m, i) = 1))")
+    larger = found.select("items", F.explode(parts).alias("part")).join(found.select(F.col("items").alias("part")), "part", "left_semi").select("items").distinct()
+    read = F.transform("items", lambda x: F.from_json(x, "p array<string>, t string"))
+    read = found.join(larger, "items", "left_anti").select(read.alias("r"))
+    return read.select(F.concat(F.col("r")[0]["p"], F.transform("r", lambda x: x["t"])).alias("items"))
+
+
+def mine(scratch: Scratch, baskets: DataFrame, support: float, confidence: float, least: int, width: int) -> DataFrame | None:
+    """Token sets that imply the bad label: rows (rule, need, item, token), where any token of its class stands for an item.
 
     A set is a rule if at least max(``least``, ``support`` x bad pages) bad pages have it, and they are a share of ``confidence`` or more
-    of all pages that have it.  A rule is dropped if a part of it is a rule, as whatever it matches is matched already.  Single
-    tokens are counted over all.  Combinations come from FP-growth over what is left: a page takes part with the
-    ``items`` classes of the highest bad share that are no rules themselves, so at most 2^items sets come from each page
-    however long its path; rules have at most ``longest`` items.  None if no page is bad.
+    of all pages that have it.  All smallest rules are found, whatever the number of tokens of a page or a rule; a rule of which a
+    part is a rule matches nothing more, and is dropped where that is seen.  Single tokens are counted first; what is left is
+    mined by FP-growth.  A page with n tokens has up to 2^n sets, so while a page has over ``width`` classes of tokens, the pages
+    are projected by each class (see ``projected``), which leaves fewer; projections in which no page is wider are mined together.
+    ``width`` moves work between the two ways and changes no rule's matches.  The frequent sets themselves are the work: their
+    number is bounded by ``support`` only.  None if no page is bad.
     """
     n_bad = baskets.filter("bad").count()
     if not n_bad:
@@ -81,22 +129,25 @@ def mine(scratch: Scratch, baskets: DataFrame, support: float, confidence: float
     one = known.filter(F.col("b") >= confidence * F.col("c"))
     single = one.select(F.col("cls").alias("rule"), F.lit(1).alias("need"), F.col("cls").alias("item"), "token")
     rest = known.filter(F.col("b") < confidence * F.col("c"))
-    share = rest.groupBy("cls").agg(F.max(F.col("b") / F.col("c")).alias("share"))
-    left = baskets.select("key", "bad", F.explode("items").alias("token")).join(rest.filter("token = cls").select("token"), "token").join(share.withColumnRenamed("cls", "token"), "token")
-    left = left.groupBy("key", "bad").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "token"))).alias("t"))
-    names = F.slice(F.transform("t", lambda x: x["token"]), 1, items)
-    left = scratch.save(left.select(F.when(F.col("bad"), F.concat(names, F.array(F.lit(BAD)))).otherwise(names).alias("items")), "left")
-    n_left = left.count()
-    if not n_left:
+    left = baskets.select("key", "bad", F.explode("items").alias("token")).join(rest.filter("token = cls").select("token", "c"), "token")
+    left = left.groupBy("key", "bad").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))
+    rows = scratch.save(left.select(F.array().cast("array<string>").alias("prefix"), "key", "bad", F.transform("t", lambda x: x["token"]).alias("items")), "left")
+    narrow, rules = [], []
+    while True:
+        widths = scratch.save(rows.groupBy("prefix").agg(F.max(F.size("items")).alias("most")), "widths")
+        narrow.append(rows.join(widths.filter(F.col("most").between(2, width)).select("prefix"), "prefix", "left_semi"))
+        wide = widths.filter(F.col("most") > width)
+        if wide.isEmpty():
+            break
+        rows, found = projected(scratch, rows.join(wide.select("prefix"), "prefix", "left_semi"), need, confidence)
+        rows = scratch.save(rows, "rows")
+        rules.append(found)
+    found = grown(scratch, reduce(DataFrame.union, narrow), need, confidence)
+    rules += [found] if found is not None else []
+    if not rules:
         return single
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (need - 0.5) / n_left)).fit(left).freqItemsets
-    sets = scratch.save(sets.select(F.array_sort(F.array_remove("items", BAD)).alias("items"), F.array_contains("items", BAD).alias("bad"), "freq").filter(F.size("items").between(2, longest)), "sets")
-    bad = sets.filter("bad").select("items", F.col("freq").alias("b"))
-    found = sets.filter("not bad").join(bad, "items").filter((F.col("b") >= need) & (F.col("b") >= confidence * F.col("freq"))).select("items")
-    parts = F.expr("transform(sequence(1, shiftleft(1, size(items)) - 2), m -> filter(items, (x, i) -> getbit(m, i) = 1))")
-    larger = found.select("items", F.explode(parts).alias("part")).join(found.select(F.col("items").alias("part")), "part", "left_semi").select("items").distinct()
-    kept = found.join(larger, "items", "left_anti").select(F.array_join("items", " ").alias("rule"), F.size("items").alias("need"), F.explode("items").alias("item"))
-    return single.union(kept.join(rest.select(F.col("cls").alias("item"), "token"), "item").select("rule", "need", "item", "token"))
+    sets = reduce(DataFrame.union, rules).select(F.to_json(F.array_sort("items")).alias("rule"), F.size("items").alias("need"), F.explode("items").alias("item"))
+    return single.union(sets.join(rest.select(F.col("cls").alias("item"), "token"), "item").select("rule", "need", "item", "token"))
 
 
 def salted(column: str) -> Column:
@@ -104,14 +155,14 @@ def salted(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
 
 
-def url_verdicts(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], support: float = 0.002, confidence: float = 0.6, least: int = 3, items: int = 10, longest: int = 4, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_verdicts(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], support: float = 0.002, confidence: float = 0.6, least: int = 3, width: int = 10, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Verdict of every page's url: by the longest listed rule that fits, else ``block`` if a mined rule matches, else ``allow``.
 
     Training rows are the pages whose id has a label; a page is bad when its label has quality 0 or toxic 1 (nulls
     are neither).  Without bad pages no rule is mined and everything unlisted is allowed.  Null urls have
     empty host and path and match nothing.  Rows with repeated or null ids are judged one by one, and equal rows train once; other
-    columns are not read.  ``support`` is a share of the bad pages, ``items`` and ``longest`` bound the mining (see ``mine``): the time grows
-    with the tokens of an url, not with their combinations.
+    columns are not read.  ``support`` is a share of the bad pages; tokens and lengths of rules have no bound (see ``mine``), so urls of any length
+    count whole.  An empty table gives no rows.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
@@ -125,7 +176,7 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str
     baskets = scratch.save(baskets.dropDuplicates(["key"]), "baskets")
     name, verdict = listed(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("listed", verdict)
-    found = mine(scratch, baskets, support, confidence, least, items, longest)
+    found = mine(scratch, baskets, support, confidence, least, width)
     if found is None:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("listed", F.lit("allow")).alias("verdict"))
     # inverted index: each rule under the tokens of its items; a url matches a rule when it has all items.  Urls with the same

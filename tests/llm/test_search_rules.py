@@ -101,6 +101,46 @@ def test_mined_rules(spark):
     assert got == want and set(want.values()) == {"allow", "block"} and any(len(r) > 1 for r in rules)
 
 
+def minimal_rules(baskets, need, confidence):
+    """Smallest rules of any length, level by level: only sets with enough bad pages and no rule inside are extended."""
+    names = sorted(set().union(*(t for t, _ in baskets)))
+    found, level = [], [frozenset()]
+    while level:
+        wider = {s | {n} for s in level for n in names if not s or n > max(s)}
+        level = []
+        for s in sorted(wider, key=sorted):
+            hit = [bad for t, bad in baskets if s <= t]
+            if sum(hit) < need or any(f <= s for f in found):
+                continue
+            (found if sum(hit) >= confidence * len(hit) else level).append(s)
+    return found
+
+
+def test_wide_pages_are_mined_whole(spark):
+    """Fourteen noise tokens a page: verdicts equal brute force, and do not depend on where projections end and FP-growth begins."""
+    rng = np.random.default_rng(21)
+    noise = [f"n{chr(97 + k)}" for k in range(14)]
+    urls, bad = [], []
+    for i in range(160):
+        steps = [n for n in noise if rng.random() < 0.8]
+        hit = {"na", "nb", "nc", "nd", "ne"} <= set(steps)
+        urls.append("http://x.net/" + "/".join(steps))
+        bad.append(bool(rng.random() < (0.9 if hit else 0.2)))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if b else 1, 0) for i, b in enumerate(bad) if i % 4], "doc_id long, quality int, toxic int")
+    tokens = [set(r.t) for r in pages.select(url_rules.tokens(*url_rules.host_and_path(pages.url)).alias("t"), "page_id").orderBy("page_id").collect()]
+    train = {(u, i) for i, u in enumerate(urls) if i % 4}
+    train = [(tokens[i], bad[i]) for _, i in sorted(train)]
+    need = max(3, -(-int(0.2 * sum(b for _, b in train) * 1000) // 1000))
+    rules = minimal_rules(train, need, 0.7)
+    assert max(map(len, rules)) > 4
+    want = {i: "block" if any(r <= t for r in rules) else "allow" for i, t in enumerate(tokens)}
+    assert set(want.values()) == {"allow", "block"}
+    for width in (5, 10, 20):
+        got = url_rules.url_verdicts(pages, labels, [], support=0.2, confidence=0.7, width=width)
+        assert {r.page_id: r.verdict for r in got.collect()} == want, width
+
+
 def test_long_paths_take_no_longer(spark):
     """Sixty pages below one path of thirty segments, with longer and longer parts of it."""
     path = "/".join(f"step{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30))
