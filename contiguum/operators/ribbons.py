@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_labels
-from .lineage import cut
+from .lineage import cut, numbered
 
 
 @dataclass(frozen=True)
@@ -85,6 +85,8 @@ def repel(frame: pd.DataFrame, pairs: tuple[np.ndarray, np.ndarray], movable: np
     align = np.abs((perp[i] * perp[j]).sum(1))
     keep = align >= 0.2
     i, j, align = i[keep], j[keep], align[keep]
+    at = np.lexsort((j, i))  # sums are made in the order of rows, wherever a row is solved
+    i, j, align = i[at], j[at], align[at]
     tangent = np.column_stack([perp[:, 1], -perp[:, 0]])
     off, push, cap = start.copy(), p.strength * radius, p.cap * size
     for _ in range(p.iterations):
@@ -101,78 +103,142 @@ def repel(frame: pd.DataFrame, pairs: tuple[np.ndarray, np.ndarray], movable: np
 
 
 def _reach(chord: DataFrame, radius: float, p: BulgeParams) -> DataFrame:
-    """Pairs (i, j) that can come within ``radius`` while both bulge: midpoints nearer than radius + cap * (len_i + len_j).
+    """Pairs (a, b) that can come within ``radius`` while both bulge: midpoints nearer than radius + cap * (len_a + len_b), ribbons
+    not across one another (those pass by without a push).
 
     Long chords reach farther than short ones, so each pair is looked for on the grid of its longer chord's power of two.
     """
     level = F.greatest(F.lit(0), F.ceil(F.log2((radius + 2 * p.cap * F.col("len")) / radius)))
-    rows = chord.select("ord", F.col("mid_x").alias("x"), F.col("mid_y").alias("y"), "len", level.cast("int").alias("level"))
+    rows = chord.select("ord", F.col("mid_x").alias("x"), F.col("mid_y").alias("y"), F.col("perp_x").alias("px"), F.col("perp_y").alias("py"), "len", level.cast("int").alias("level"))
     top = rows.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
     cell = lambda c, k: F.floor(F.col(c) / (F.lit(radius) * F.pow(F.lit(2.0), k)))
     nine = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    big = rows.select(F.col("ord").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("len").alias("li"), "level", F.explode(F.array(*(F.struct((cell("x", F.col("level")) + a).alias("cx"), (cell("y", F.col("level")) + b).alias("cy")) for a, b in nine))).alias("c"))
+    big = rows.select(F.col("ord").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("px").alias("pxi"), F.col("py").alias("pyi"), F.col("len").alias("li"), "level", F.explode(F.array(*(F.struct((cell("x", F.col("level")) + a).alias("cx"), (cell("y", F.col("level")) + b).alias("cy")) for a, b in nine))).alias("c"))
     all_levels = F.explode(F.sequence(F.col("level"), F.lit(top)))
-    small = rows.select(F.col("ord").alias("j"), "x", "y", F.col("len").alias("lj"), F.col("level").alias("own"), all_levels.alias("level"))
-    small = small.select("j", "x", "y", "lj", "own", "level", cell("x", F.col("level")).alias("cx"), cell("y", F.col("level")).alias("cy"))
-    pairs = big.select("i", "xi", "yi", "li", "level", "c.cx", "c.cy").join(small, ["level", "cx", "cy"])
+    small = rows.select(F.col("ord").alias("j"), "x", "y", "px", "py", F.col("len").alias("lj"), F.col("level").alias("own"), all_levels.alias("level"))
+    small = small.select("j", "x", "y", "px", "py", "lj", "own", "level", cell("x", F.col("level")).alias("cx"), cell("y", F.col("level")).alias("cy"))
+    pairs = big.select("i", "xi", "yi", "pxi", "pyi", "li", "level", "c.cx", "c.cy").join(small, ["level", "cx", "cy"])
     once = (F.col("own") < F.col("level")) | (F.col("i") < F.col("j"))
     reach = radius + p.cap * (F.col("li") + F.col("lj"))
     d2 = F.pow(F.col("xi") - F.col("x"), 2) + F.pow(F.col("yi") - F.col("y"), 2)
-    return pairs.filter(once & (F.col("i") != F.col("j")) & (d2 < reach * reach)).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    along = F.abs(F.col("pxi") * F.col("px") + F.col("pyi") * F.col("py")) >= 0.199  # the kernel decides at 0.2
+    return pairs.filter(once & (F.col("i") != F.col("j")) & (d2 < reach * reach) & along).select(F.col("i").alias("a"), F.col("j").alias("b"))
 
 
-def bulge_offsets(contigs: DataFrame, p: BulgeParams | None = None) -> DataFrame:
-    """(ord, offset): how far each ribbon bows out of crowded spots.  Contigs that can meet form clusters, one task each."""
+CHORD = ("mid_x", "mid_y", "perp_x", "perp_y", "len")
+
+
+def _rounds(members: DataFrame, links: DataFrame, radius: float, p: BulgeParams) -> DataFrame:
+    """(ord, offset) of the members that a tile owns, after ``p.iterations`` rounds in each tile on its own.
+
+    ``members`` (tile, ord, chord, moves, offset, own), ``links`` (tile, i, j).
+    """
+    no = lambda t: F.lit(None).cast(t)
+    nodes = members.select("tile", "ord", *CHORD, "offset", "moves", "own", F.lit(False).alias("link"), F.lit(0).cast("long").alias("other"))
+    both = links.select("tile", F.col("i").alias("ord"), *(no("double").alias(c) for c in CHORD), no("double").alias("offset"), no("boolean").alias("moves"), no("boolean").alias("own"), F.lit(True).alias("link"), F.col("j").alias("other"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        link = pdf[pdf["link"]]
+        frame = pdf[~pdf["link"]].sort_values("ord")
+        number = pd.Index(frame["ord"])
+        at = number.get_indexer(link["ord"]), number.get_indexer(link["other"])
+        off = repel(frame, at, frame["moves"].to_numpy().astype(bool), frame["offset"].to_numpy(), radius, p)
+        own = frame["own"].to_numpy().astype(bool)
+        return pd.DataFrame({"ord": frame["ord"].to_numpy()[own], "offset": off[own]})
+
+    return nodes.unionByName(both).groupBy("tile").applyInPandas(run, "ord long, offset double")
+
+
+def _halo(homes: DataFrame, both: DataFrame, hops: int, spread: float = 3.0) -> tuple[DataFrame, DataFrame, int]:
+    """What the tiles need to make some rounds alone: members (tile, ord, depth), links (tile, i, j) and the number of rounds.
+
+    A row after k rounds depends on rows at most k links away, so each tile takes in the rows around it, link by link, up to
+    ``hops`` times, and stops earlier when all tiles together hold over ``spread`` times the rows that there are.
+    """
+    members = cut(homes.select("tile", "ord", F.lit(0).alias("depth")))
+    most = spread * members.count()
+    links = None
+    for depth in range(1, hops + 1):
+        edge = members.filter(F.col("depth") == depth - 1).select("tile", F.col("ord").alias("i"))
+        step = cut(edge.join(both, "i").select("tile", "i", "j"))
+        links = step if links is None else links.union(step)
+        seen = step.select("tile", F.col("j").alias("ord"), F.lit(depth).alias("depth"))
+        members = cut(members.union(seen).groupBy("tile", "ord").agg(F.min("depth").alias("depth")))
+        if members.count() > most:
+            break
+    return members, links, depth
+
+
+def _settle(rows: DataFrame, pairs: DataFrame, radius: float, p: BulgeParams, most: int, hops: int) -> DataFrame:
+    """(ord, offset) of the rows that move and have a row near them; ``rows`` (ord, chord, moves, offset), ``pairs`` (a, b) once each.
+
+    Rows that move and can meet form clusters.  A cluster of up to ``most`` rows is solved in one task, all rounds at once.  A larger one
+    is cut into tiles of ``most`` rows along the Morton curve of their midpoints.  A tile takes in the rows up to
+    ``hops`` links around it (its halo), makes as many rounds alone as its halo allows and hands on the offsets of its own rows,
+    from which all tiles start their next rounds.  Results are those of one task to the last bit: every row sums its pushes in the
+    same order, wherever it is.  A task holds a tile, its halo and their links; a row's own neighbours are in one task.
+    """
+    movers = rows.filter("moves").select("ord")
+    both = pairs.select(F.col("a").alias("i"), F.col("b").alias("j")).union(pairs.select("b", "a"))
+    both = cut(both.join(movers.withColumnRenamed("ord", "i"), "i", "left_semi"))
+    couple = both.join(movers.withColumnRenamed("ord", "j"), "j", "left_semi").filter("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    labels = component_labels(both.select(F.col("i").alias("ord")).distinct(), couple, closed=True)
+    large = cut(labels.groupBy("label").count().filter(F.col("count") > most).select("label"))
+    own = F.col("depth") == 0
+
+    def placed(members: DataFrame, deepest: int) -> DataFrame:
+        inner = F.col("moves") & (F.col("depth") < deepest)
+        return members.join(rows, "ord").select("tile", "ord", *CHORD, inner.alias("moves"), "offset", own.alias("own"))
+
+    small = labels.join(large, "label", "left_anti").select(F.col("label").alias("tile"), "ord")
+    members, links, _ = _halo(small, both, 1)  # a cluster is whole: around it are only rows that stand still
+    out = _rounds(placed(members, 1), links, radius, p)
+    if large.isEmpty():
+        return out
+    wide = cut(labels.join(large, "label", "left_semi").join(rows, "ord").select("label", "ord", "mid_x", "mid_y", "offset"))
+    box = wide.agg(F.min("mid_x"), F.max("mid_x"), F.min("mid_y"), F.max("mid_y")).first()
+    cell = lambda c, lo, hi: F.floor((F.col(c) - lo) * (((1 << CODE_BITS) - 1) / ((hi - lo) or 1.0))).cast("long")
+    code = _spread(cell("mid_x", box[0], box[1])).bitwiseOR(F.shiftleft(_spread(cell("mid_y", box[2], box[3])), 1))
+    homes = numbered(wide.select("label", code.alias("code"), "ord"), [F.col("label"), F.col("code"), F.col("ord")], "rank")
+    homes = cut(homes.select(F.expr(f"rank div {most}").alias("tile"), "ord"))
+    members, links, deepest = _halo(homes, both, min(hops, p.iterations))
+    members, links = cut(placed(members, deepest)), cut(links)
+    now, left = wide.select("ord", "offset"), p.iterations
+    while left > 0:
+        start = members.withColumnRenamed("offset", "still").join(now.withColumnRenamed("offset", "last"), "ord", "left").withColumn("offset", F.coalesce("last", "still"))
+        now = cut(_rounds(start, links, radius, replace(p, iterations=min(left, deepest))))
+        left -= deepest
+    return out.union(now)
+
+
+def bulge_offsets(contigs: DataFrame, p: BulgeParams | None = None, most: int = 20_000, hops: int = 8) -> DataFrame:
+    """(ord, offset): how far each ribbon bows out of crowded spots.  Contigs that can meet form clusters, those of up to ``most`` one
+    task each, larger ones in tiles with halos (see ``_settle``).  No contigs, no rows; a contig that meets none has offset 0."""
     p = p or BulgeParams()
     chord = cut(chords(contigs))
     radius = max(mean_chord(contigs, TINY).first()[0] * p.radius, TINY)
     pairs = cut(_reach(chord, radius, p))
     if pairs.isEmpty():
         return chord.select("ord", F.lit(0.0).alias("offset"))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct()
-    labels = component_labels(nodes, pairs)
-    rows = chord.join(labels, "ord").select("label", *chord.columns, F.lit(None).cast("long").alias("other"))
-    links = pairs.join(labels.withColumnRenamed("ord", "a"), "a").select("label", F.col("a").alias("ord"), *(F.lit(None).cast("double").alias(c) for c in chord.columns[1:]), F.col("b").alias("other"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        link = pdf[pdf["other"].notna()]
-        frame = pdf[pdf["other"].isna()].sort_values("ord")
-        number = pd.Index(frame["ord"])
-        a, b = number.get_indexer(link["ord"].astype("int64")), number.get_indexer(link["other"].astype("int64"))
-        off = repel(frame, (np.r_[a, b], np.r_[b, a]), np.ones(len(frame), bool), np.zeros(len(frame)), radius, p)
-        return pd.DataFrame({"ord": frame["ord"].to_numpy(), "offset": off})
-
-    found = rows.unionByName(links).groupBy("label").applyInPandas(run, "ord long, offset double")
+    found = _settle(chord.withColumn("moves", F.lit(True)).withColumn("offset", F.lit(0.0)), pairs, radius, p, most, hops)
     return chord.select("ord").join(found, "ord", "left").select("ord", F.coalesce("offset", F.lit(0.0)).alias("offset"))
 
 
-def local_bulge(contigs: DataFrame, active: DataFrame, offsets: DataFrame, p: BulgeParams | None = None) -> DataFrame:
+def local_bulge(contigs: DataFrame, active: DataFrame, offsets: DataFrame, p: BulgeParams | None = None, most: int = 20_000, hops: int = 8) -> DataFrame:
     """(ord, offset) of the active contigs, from zero, against each other and against all others where they stand.
 
-    Only contigs that can come near an active one are sent to the one task of the gesture.
+    Active contigs that can meet form clusters, as in ``bulge_offsets``, each with the others around it.  So gestures in different
+    places are different tasks, and one over a great many contigs is cut into tiles.
     """
     p = p or BulgeParams()
     chord = cut(chords(contigs))
     radius = max(mean_chord(contigs, TINY).first()[0] * p.radius, TINY)
     moving = active.select("ord").distinct().withColumn("moves", F.lit(True))
-    rows = chord.join(moving, "ord", "left").join(offsets, "ord", "left").select(*chord.columns, F.coalesce("moves", F.lit(False)).alias("moves"), F.coalesce("offset", F.lit(0.0)).alias("offset"))
-    pairs = _reach(chord, radius, p)
-    both = pairs.union(pairs.select("b", "a")).join(moving.select(F.col("ord").alias("a")), "a", "left_semi")
-    near = both.select(F.col("b").alias("ord")).union(moving.select("ord")).distinct()
-    rows = rows.join(near, "ord", "left_semi").withColumn("other", F.lit(None).cast("long"))
-    links = both.select(F.col("a").alias("ord"), *(F.lit(None).cast(t).alias(c) for c, t in rows.dtypes[1:-1]), F.col("b").alias("other"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        link = pdf[pdf["other"].notna()]
-        frame = pdf[pdf["other"].isna()].sort_values("ord")
-        number = pd.Index(frame["ord"])
-        moves = frame["moves"].to_numpy().astype(bool)
-        start = np.where(moves, 0.0, frame["offset"].to_numpy())
-        at = (number.get_indexer(link["ord"].astype("int64")), number.get_indexer(link["other"].astype("int64")))
-        off = repel(frame, at, moves, start, radius, p)
-        return pd.DataFrame({"ord": frame["ord"].to_numpy()[moves], "offset": off[moves]})
-
-    return rows.unionByName(links).groupBy().applyInPandas(run, "ord long, offset double")
+    start = F.when(F.col("moves"), 0.0).otherwise(F.coalesce("offset", F.lit(0.0)))
+    rows = chord.join(moving, "ord", "left").join(offsets, "ord", "left").withColumn("moves", F.coalesce("moves", F.lit(False)))
+    rows = cut(rows.select(*chord.columns, "moves", start.alias("offset")))
+    found = _settle(rows, _reach(chord, radius, p), radius, p, most, hops)
+    return rows.filter("moves").select("ord").join(found, "ord", "left").select("ord", F.coalesce("offset", F.lit(0.0)).alias("offset"))
 
 
 def effective_ports(ports: DataFrame, moves: DataFrame) -> DataFrame:
