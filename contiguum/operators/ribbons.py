@@ -191,8 +191,10 @@ def _settle(rows: DataFrame, pairs: DataFrame, radius: float, p: BulgeParams, mo
         return members.join(rows, "ord").select("tile", "ord", *CHORD, inner.alias("moves"), "offset", own.alias("own"))
 
     small = labels.join(large, "label", "left_anti").select(F.col("label").alias("tile"), "ord")
-    members, links, _ = _halo(small, both, 1)  # a cluster is whole: around it are only rows that stand still
-    out = _rounds(placed(members, 1), links, radius, p)
+    out = labels.limit(0).select("ord", F.lit(0.0).alias("offset"))
+    if not small.isEmpty():
+        members, links, _ = _halo(small, both, 1)  # a cluster is whole: around it are only rows that stand still
+        out = _rounds(placed(members, 1), links, radius, p)
     if large.isEmpty():
         return out
     wide = cut(labels.join(large, "label", "left_semi").join(rows, "ord").select("label", "ord", "mid_x", "mid_y", "offset"))
