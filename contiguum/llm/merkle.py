@@ -2,8 +2,10 @@
 
 Leaves are hashes of rows.  Per language they form a tree by id, every ``FAN`` neighbours a parent; the languages' roots form one more tree.
 A parent is the hash of its children one after another, so the hash state before each child slot is a state that its computation
-passes anyway: these are kept as copies (the midstate tree).  To see what a changed child does, the state before its slot is
-resumed, the new child and its right siblings follow, and nothing on the left is hashed again.
+passes anyway: these are kept as copies (the midstate tree).  To see what a child makes of its root, the state before its slot is
+resumed, the child and its right siblings follow, and nothing on the left is hashed again.  Every leaf is folded so, changed or not.
+A hex digest is just one 64-byte block of SHA-256, so the state before a slot is 32 bytes, which travel to the tasks below;
+``hashlib`` takes no states from elsewhere, so there ``compress`` goes on from them, for all nodes of some blocks at once.
 
 A tree is worked up in *blocks* of ``FAN ** LEVELS`` neighbours (512), each in one task: only block roots go on to the next tier, so
 a billion leaves are four tiers.  On the way down each block learns the runs of siblings above it, a few hundred bytes a level, and answers for all its
@@ -14,8 +16,10 @@ is gathered, and no leaf passes the driver.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +30,79 @@ FAN, LEVELS = 8, 3
 BLOCK = FAN**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars")
 
+PRIMES = [p for p in range(2, 312) if all(p % q for q in range(2, p))]
+ROUNDS = np.array([int(p ** (1 / 3) * 2**32) % 2**32 for p in PRIMES], np.uint64)[:, None]
+START = np.array([math.isqrt(p << 64) % 2**32 for p in PRIMES[:8]], np.uint64)[:, None]
+LOW = np.uint64(0xFFFFFFFF)
+
+
+def turned(x: np.ndarray, *by: int, shift: int = 0) -> np.ndarray:
+    """Exclusive or of 32-bit words turned right (and one shifted right); bits above the low 32 are left over."""
+    twice = x << np.uint64(32) | x
+    out = x >> np.uint64(shift) if shift else np.uint64(0)
+    for n in by:
+        out = out ^ (twice >> np.uint64(n))
+    return out
+
+
+def compress(state: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """SHA-256 states (8 x n) after one more 64-byte block each (16 words x n)."""
+    w = np.empty((64, block.shape[1]), np.uint64)
+    w[:16] = block
+    for k in range(16, 64):
+        w[k] = (w[k - 16] + w[k - 7] + (turned(w[k - 15], 7, 18, shift=3) & LOW) + (turned(w[k - 2], 17, 19, shift=10) & LOW)) & LOW
+    w += ROUNDS
+    a, b, c, d, e, f, g, h = state
+    for k in range(64):
+        one = h + (turned(e, 6, 11, 25) & LOW) + (g ^ (e & (f ^ g))) + w[k]
+        two = (turned(a, 2, 13, 22) & LOW) + ((a & b) | (c & (a | b)))
+        a, b, c, d, e, f, g, h = (one + two) & LOW, a, b, c, (d + one) & LOW, e, f, g
+    return (state + np.array([a, b, c, d, e, f, g, h])) & LOW
+
+
+def words(raw: bytes, each: int) -> np.ndarray:
+    """Big-endian 32-bit words of strings of ``each`` words, a column for each string."""
+    return np.frombuffer(raw, ">u4").astype(np.uint64).reshape(-1, each).T
+
+
+def spelled(states: np.ndarray) -> list[bytes]:
+    raw = np.ascontiguousarray(states.T).astype(">u4").tobytes().hex().encode()
+    return [raw[k : k + 64] for k in range(0, len(raw), 64)]
+
+
+def midstates(nodes: list[bytes]) -> list[bytes]:
+    """The state before each node's slot, with neighbours on one level in parents of ``FAN``."""
+    out = [b""] * len(nodes)
+    state = np.repeat(START, -(-len(nodes) // FAN), axis=1)
+    for slot in range(FAN):
+        low = nodes[slot::FAN]
+        state = state[:, : len(low)]
+        raw = np.ascontiguousarray(state.T).astype(">u4").tobytes()
+        out[slot::FAN] = [raw[k : k + 32] for k in range(0, len(raw), 32)]
+        if len(low):
+            state = compress(state, words(b"".join(low), 16))
+    return out
+
+
+def resumed(nodes: list[bytes], owner: list[int], paths: list[list[dict]]) -> list[bytes]:
+    """What nodes give at the upper end of the paths of their owners: at each level the state before the slot goes on with the node, its right siblings and the end."""
+    nodes, owner = list(nodes), np.array(owner)
+    for level in range(max(map(len, paths), default=0)):
+        rows = np.flatnonzero(np.array([len(p) > level for p in paths])[owner])
+        if not len(rows):
+            continue
+        runs = [paths[k][level] for k in owner[rows]]
+        state = compress(words(b"".join([r["state"] for r in runs]), 8), words(b"".join([nodes[k] for k in rows]), 16))
+        more = np.array([len(r["right"]) // 64 for r in runs])
+        for at in range(more.max()):
+            here = np.flatnonzero(more > at)
+            state[:, here] = compress(state[:, here], words(b"".join([runs[k]["right"][64 * at : 64 * at + 64] for k in here]), 16))
+        end = np.zeros((16, len(rows)), np.uint64)
+        end[0], end[15] = 1 << 31, [8 * (len(r["left"]) + 64 + len(r["right"])) for r in runs]
+        for k, new in zip(rows, spelled(compress(state, end)), strict=True):
+            nodes[k] = new
+    return nodes
+
 
 def field(value) -> bytes:
     """A value with its length ahead, so that no two rows are spelled alike."""
@@ -119,7 +196,7 @@ class Midstates:
 
 
 NODES = "array<struct<place:long,node:binary,doc_id:long,other:binary>>"
-PATH = "array<struct<left:binary,right:binary>>"
+PATH = "array<struct<left:binary,right:binary,state:binary>>"
 
 
 def blocks(scratch: Scratch, ranked_nodes: DataFrame) -> DataFrame:
@@ -151,7 +228,7 @@ def block_roots(laid: DataFrame) -> DataFrame:
 
 
 def child_paths(laid: DataFrame) -> DataFrame:
-    """(tree, block, path): for each node of blocks with a ``path``, the siblings from its own level up to the root.
+    """(tree, block, path): for each node of blocks with a ``path``, the siblings from its own level up to the root, and the states before its slots.
 
     A node is a block of the tier below, so its place is that block's number.
     """
@@ -161,8 +238,9 @@ def child_paths(laid: DataFrame) -> DataFrame:
             tree, size, nodes, above = batch.column(0)[0], batch.column(2)[0].as_py(), batch.column(3)[0], batch.column(4)[0].as_py()
             m = Midstates(nodes.values.field("node").to_pylist(), size <= BLOCK)
             count = len(m.levels[0])
-            paths = [[dict(zip(("left", "right"), m.siblings(k, level), strict=True)) for level in range(len(m.states))] + above for k in range(count)]
-            kind = pa.list_(pa.struct([("left", pa.binary()), ("right", pa.binary())]))
+            states = [midstates(m.levels[level]) for level in range(len(m.states))]
+            paths = [[dict(zip(("left", "right", "state"), (*m.siblings(k, level), before[k // FAN**level]), strict=True)) for level, before in enumerate(states)] + above for k in range(count)]
+            kind = pa.list_(pa.struct([("left", pa.binary()), ("right", pa.binary()), ("state", pa.binary())]))
             yield pa.RecordBatch.from_arrays([pa.array([tree.as_py()] * count, pa.string()), nodes.values.field("place"), pa.array(paths, kind)], names=["tree", "block", "path"])
 
     return laid.select("tree", "block", "size", "nodes", "path").mapInArrow(lean(run), f"tree string, block long, path {PATH}")
@@ -198,37 +276,32 @@ def answers(laid: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in OUT.split(", ")]
 
     def run(batches):
-        for batch in _few(batches, 1):
-            size, nodes, path, subroot, root = (batch.column(k)[0] for k in range(5))
-            nodes, path, subroot, root = nodes.values, path.as_py(), subroot.as_py().hex(), root.as_py().hex()
-            m = Midstates(nodes.field("node").to_pylist(), size.as_py() <= BLOCK)
-            above, tail = [], b""
-            for run_ in path:  # the block's parents further up, each with the state before its slot
-                above.append((hashlib.sha256(run_["left"]), run_["right"]))
-                tail += run_["left"] + run_["right"]
-            # proofs: siblings of a level are those of all leaves below one node
-            proof, folded = [], []
-            joined = [[b"".join(m.siblings(k * FAN**level, level)) for k in range(len(m.levels[level]))] for level in range(len(m.states))]
-            for k, other in enumerate(nodes.field("other").to_pylist()):
-                at, parts = k, []
-                for of in joined:
-                    parts.append(of[at])
-                    at //= FAN
-                parts.append(tail)
-                proof.append(hashlib.sha256(b"".join(parts)).hexdigest())
-                if other is None:
-                    folded.append(root)
-                    continue
-                node = m.folded(k, other.hex().encode())
-                for state, right in above:
-                    h = state.copy()
-                    h.update(node)
-                    h.update(right)
-                    node = h.hexdigest().encode()
-                folded.append(node.decode())
-            n = len(proof)
-            cols = [nodes.field("doc_id"), pa.array([v.decode() for v in m.levels[0]]), pa.array([subroot] * n), pa.array([root] * n), pa.array(proof), pa.array(folded), pa.array([f == root for f in folded])]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        for batch in _few(batches):
+            columns, changed, owner, which = [], [], [], []
+            paths = batch.column(2).to_pylist()
+            for b, (size, nodes, path) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), paths, strict=True)):
+                nodes = nodes.values
+                m = Midstates(nodes.field("node").to_pylist(), size <= BLOCK)
+                tail = b"".join([part for r in path for part in (r["left"], r["right"])])
+                # proofs: siblings of a level are those of all leaves below one node
+                joined = [[b"".join(m.siblings(k * FAN**level, level)) for k in range(len(m.levels[level]))] for level in range(len(m.states))]
+                proof, seen = [], {}
+                for k, (leaf, other) in enumerate(zip(m.levels[0], nodes.field("other").to_pylist(), strict=True)):
+                    proof.append(hashlib.sha256(b"".join([*(of[k // FAN**level] for level, of in enumerate(joined)), tail])).hexdigest())
+                    node = m.folded(k, leaf if other is None else other.hex().encode())
+                    if node not in seen:  # what leaves agree on here goes on once
+                        seen[node] = len(changed)
+                        changed.append(node)
+                        owner.append(b)
+                    which.append(seen[node])
+                columns.append((nodes.field("doc_id"), [v.decode() for v in m.levels[0]], proof))
+            tops = [t.decode() for t in resumed(changed, owner, paths)]
+            folded = iter([tops[k] for k in which])
+            for (ids, leaf, proof), subroot, root in zip(columns, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                n, root = len(proof), root.hex()
+                mine = [next(folded) for _ in range(n)]
+                cols = [ids, pa.array(leaf), pa.array([subroot.hex()] * n), pa.array([root] * n), pa.array(proof), pa.array(mine), pa.array([f == root for f in mine])]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return laid.select("size", "nodes", "path", "subroot", "root").mapInArrow(lean(run), OUT)
 

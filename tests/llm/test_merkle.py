@@ -110,3 +110,43 @@ def test_midstates_fold():
 
 def test_empty(spark):
     assert mk.manifest(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_states_resume():
+    """A state before a slot, as 32 bytes, goes on to the digest that all children give."""
+    rnd = random.Random(3)
+    for n in (1, 3, 8, 9, 20):
+        nodes = [rnd.randbytes(32).hex().encode() for _ in range(n)]
+        paths = []
+        for k, state in enumerate(mk.midstates(nodes)):
+            first = k - k % 8
+            left = b"".join(nodes[first:k])
+            paths.append([{"left": b"?" * len(left), "right": b"".join(nodes[k + 1 : first + 8]), "state": state}])  # the left is in the state
+        new = [rnd.randbytes(32).hex().encode() for _ in range(n)]
+        want = [hashlib.sha256(b"".join([*nodes[k - k % 8 : k], new[k], *nodes[k + 1 : k - k % 8 + 8]])).hexdigest() for k in range(n)]
+        assert [x.decode() for x in mk.resumed(new, range(n), paths)] == want
+        assert mk.resumed(new, range(n), [[]] * n) == new
+
+
+@pytest.mark.parametrize("side", ["root", "right", "state"])
+def test_unchanged_leaves_are_folded(spark, side):
+    """A leaf that nothing tampered with does not verify against another root, or with a wrong sibling or state above."""
+    nodes = [hashlib.sha256(bytes([k])).digest() for k in range(11)]
+    subroot, other = (levels_of([x.hex() for x in nodes])[-1][0], sha("other"))
+    root = sha(subroot, other)
+    path = {"left": b"", "right": other.encode(), "state": mk.midstates([b"0" * 64])[0]}
+
+    def verified(path, root):
+        row = ("", 0, 11, [(k, x, k, None) for k, x in enumerate(nodes)], [path], bytes.fromhex(subroot), bytes.fromhex(root))
+        got = mk.answers(spark.createDataFrame([row], f"tree string, block long, size long, nodes {mk.NODES}, path {mk.PATH}, subroot binary, root binary")).collect()
+        assert len(got) == 11
+        return {r.verified for r in got}
+
+    assert verified(path, root) == {True}
+    if side == "root":
+        root = sha("another")
+    elif side == "right":
+        path["right"] = sha("another").encode()
+    else:
+        path["state"] = bytes(32)
+    assert verified(path, root) == {False}
