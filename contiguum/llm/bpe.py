@@ -7,10 +7,13 @@ trie and walks it depth first; the states of a shared prefix are computed once f
 
 Nothing is shuffled: texts are encoded where they are read, the model (a fixed file) is sent once per worker,
 and the word cache of a worker is emptied beyond ``CACHE_CHUNKS`` distinct words (it only saves time).
+
+Operators that only need ids, whatever way they are found, get them from ``tiktoken`` (``RankEncoder``).
 """
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
 import json
@@ -67,8 +70,14 @@ class BpeModel:
         self.whole = [True] * len(self.names)
         for i, (left, right) in enumerate(self.parts):  # parts come before what is made of them
             self.whole[i] = left == i or (self.whole[left] and self.whole[right] and self._apart(left, right, i))
-        self.inner, self.inner_sizes = self._by_tail("")
-        self.final, self.final_sizes = self._by_tail(end) if end else (self.inner, self.inner_sizes)
+
+    @functools.cached_property
+    def inner(self) -> tuple[dict[str, int], dict[str, tuple[int, ...]]]:
+        return self._by_tail("")
+
+    @functools.cached_property
+    def final(self) -> tuple[dict[str, int], dict[str, tuple[int, ...]]]:
+        return self._by_tail(self.end) if self.end else self.inner
 
     def _by_tail(self, mark: str) -> tuple[dict[str, int], dict[str, tuple[int, ...]]]:
         """Tokens with (or without) the end-of-word mark whose own text encodes to just them, and the sizes that
@@ -130,7 +139,7 @@ class TrieEncoder:
         """The trie is walked in sorted order: ``states`` holds the last tokens on the path from its root to the current word."""
         m = self.m
         end, names, known, stable, shift = m.end, m.names, m.seams, m.stable, 32
-        plain, final = (m.inner, m.inner_sizes), (m.final, m.final_sizes)
+        plain, final = m.inner, m.final
         cut = len(end)
         out: dict[str, list[int]] = {}
         states: list[int] = [-1]
@@ -175,6 +184,38 @@ class TrieEncoder:
         return out
 
 
+class RankEncoder:
+    """Lists of words to token ids through ``tiktoken``.
+
+    It merges neighbours whose joined bytes are a token, lowest rank first.  That gives the merges of the file if these are listed by id and each token's own
+    text encodes to just that token, which is required here.  A blank, which no word holds, stands for the end-of-word mark: a
+    word's last byte takes it up first, as those pairs have the lowest ids.
+    """
+
+    def __init__(self, model: BpeModel, alphabet: list[str]):
+        import tiktoken
+
+        first = len(model.names) - sum(a != i for i, (a, _) in enumerate(model.parts))  # what comes before is not merged
+        if not model.end or not all(model.whole) or model.ids[first:] != sorted(model.ids[first:]) or max(model.ids[:first]) > min(model.ids[first:], default=1 << 62):
+            raise ValueError("ids of this tokenizer file are not ranks of its merges")
+        back, ranks = {c: b for b, c in enumerate(alphabet)}, {}
+        self.ends = np.zeros(max(model.ids) + 1, bool)
+        for name, i in zip(model.names, model.ids, strict=True):
+            marked = name.endswith(model.end) and len(name) > len(model.end)
+            ranks[bytes([back[c] for c in (name[: -len(model.end)] if marked else name)]) + b" " * marked] = i
+            self.ends[i] = marked
+        self.ids = tiktoken.Encoding("own", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+
+    def encode(self, lists: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in order, and where each list of words ends."""
+        ids = self.ids("".join([f"{' '.join(ws)} " for ws in lists if ws]), disallowed_special=())
+        word = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        upto = np.cumsum([len(ws) for ws in lists], dtype=np.int64)
+        if len(upto) and upto[-1] != len(word) - 1:
+            raise RuntimeError("a word has no end")
+        return ids, word[upto]
+
+
 class TextEncoder:
     """Whole texts to token ids with the normaliser and word splitter that the tokenizer file describes.
 
@@ -197,6 +238,10 @@ class TextEncoder:
         self.known: dict[str, dict] = {}
         self.fresh: dict[str, dict] = {}
 
+    @functools.cached_property
+    def ranks(self) -> RankEncoder:
+        return RankEncoder(self.model, self.alphabet)
+
     def split(self, text: str) -> list[str]:
         """Chunks of a text in order; an added token is a chunk of its own, marked by a leading blank."""
         if self.special is not None and "<" in text and self.special.search(text):
@@ -222,6 +267,17 @@ class TextEncoder:
         tokens = self.trie.encode(set(spelled.values()))
         return [[added[c[1:]]] if ws is None else [ids[t] for w in ws for t in tokens[spelled[w]]] for c, ws in zip(chunks, parts, strict=True)]
 
+    def _raw(self, chunks: list[str]) -> list[bytes]:
+        """Token ids of chunks, as bytes."""
+        words, dtype, step = self.words, self.model.dtype, 1 << 16
+        out: list[bytes] = []
+        for at in range(0, len(chunks), step):
+            some = chunks[at : at + step]
+            ids, ends = self.ranks.encode([() if c[0] == " " else (c,) if c.isalpha() else words(c) for c in some])
+            blob, ends = ids.astype(dtype).tobytes(), (ends * dtype.itemsize).tolist()
+            out += [self.model.raw[self.model.added[c[1:]]] if c[0] == " " else blob[a:b] for c, a, b in zip(some, [0, *ends[:-1]], ends, strict=True)]
+        return out
+
     def learn(self, chunks: set[str], form: str = "ids") -> dict:
         """A table with (at least) these chunks in the form asked for: ``ids`` as bytes, or ``shown`` (decimal ids, tokens).
 
@@ -239,12 +295,11 @@ class TextEncoder:
             known.update(again)
         if not new:
             return known
-        names, raw = self.model.tokens, self.model.raw
-        got = self._tokens(new)
         if form == "ids":
-            made = [b"".join([raw[i] for i in g]) for g in got]
+            made = self._raw(new)
         else:
-            made = [(" ".join(map(str, g)), " ".join([names[i] for i in g])) for g in got]
+            names = self.model.tokens
+            made = [(" ".join(map(str, g)), " ".join([names[i] for i in g])) for g in self._tokens(new)]
         if len(fresh) + len(new) > CACHE_CHUNKS // 2:
             fresh.clear()
         fresh.update(zip(new, made, strict=True))
