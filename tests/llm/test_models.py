@@ -196,3 +196,34 @@ def test_stages_leave_other_columns_out(spark, tmp_path):
 
 def stage_ids(rows):
     return {r.doc_id for r in rows.select("doc_id").collect()}
+
+
+def test_block_tables_of_contexts():
+    """Grams, their counts and the tables of log gamma against plain loops."""
+    from math import lgamma, log, pi
+
+    rng = np.random.default_rng(6)
+    stream = rng.integers(0, 256, 300, dtype=np.uint8)
+    for depth in (2, 6, 7):
+        want = [int.from_bytes(bytes([*stream[t - depth : t][::-1].tolist(), int(stream[t])]), "big") for t in range(depth, 300)]
+        assert ctw.grams(stream, depth).tolist() == want
+    texts = [b" ".join(bytes(rng.integers(97, 103, int(n), dtype=np.uint8)) for n in rng.integers(1, 9, int(k))) for k in rng.integers(0, 40, 600)]
+
+    def streams(texts, depth):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        return ctw.Streams({"ids": np.arange(len(texts), dtype=np.int64).tobytes(), "sizes": sizes.tobytes(), "texts": zlib.compress(b"".join(texts))}, depth, 5, 1)
+
+    for some, depth in ((texts, 7), (texts[:1], 7), (texts[:3], 3), ([b""], 7)):
+        s = streams(some, depth)
+        want: dict = {}
+        for k, t in enumerate(some):
+            padded = b"\n" * depth + b" ".join(t.split()) + b"\n"
+            for at in range(depth, len(padded)):
+                key = int.from_bytes(padded[at - depth : at][::-1] + padded[at : at + 1], "big")
+                want[key] = want.get(key, 0) + (zlib.crc32(b"%d" % k) % 5 != 1)
+        keys, counts = s.table(0)
+        assert list(zip(keys.tolist(), counts.tolist(), strict=True)) == sorted(want.items())
+        assert s.keys(0).tolist() == keys.tolist() and s.keys(1).tolist() == s.table(1)[0].tolist()
+    for z, o in [(0, 0), (3, 5), (ctw.SMALL - 1, ctw.SMALL - 1), (ctw.SMALL, 1), (2, ctw.SMALL), (10**9, 7)]:
+        plain = lgamma(z + 0.5) + lgamma(o + 0.5) - lgamma(z + o + 1) - log(pi)
+        assert abs(ctw.log_kt(np.array([float(z)]), np.array([float(o)]))[0] - plain) < 1e-6 * max(1, abs(plain))
