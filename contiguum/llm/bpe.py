@@ -8,7 +8,8 @@ trie and walks it depth first; the states of a shared prefix are computed once f
 Nothing is shuffled: texts are encoded where they are read, the model (a fixed file) is sent once per worker,
 and the word cache of a worker is emptied beyond ``CACHE_CHUNKS`` distinct words (it only saves time).
 
-Operators that only need ids, whatever way they are found, get them from ``tiktoken`` (``RankEncoder``).
+Operators that only need ids, whatever way they are found, get them from ``tiktoken`` (``RankEncoder``) for the distinct words of some
+megabytes of text at a time, and keep no word beyond these.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from .common import hold, lean, small_batches
 
 CACHE_CHUNKS = 500_000
 CACHE_PAIRS = 2_000_000
+#: Size of the texts whose distinct words are held at once where ids come from ranks.
+STRETCH = 6 << 20
 #: Unicode White_Space, spelled out as Python's own classes add U+001C-001F (fixed values).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -220,7 +224,7 @@ class TextEncoder:
     """Whole texts to token ids with the normaliser and word splitter that the tokenizer file describes.
 
     A text is cut at white space; what stands between (a *chunk*) always encodes alike, so chunks are
-    looked up, and only new ones are split into words and sent through the trie.
+    looked up, and only new ones are split into words and encoded.
     """
 
     def __init__(self, spec: dict):
@@ -235,6 +239,7 @@ class TextEncoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.model.added)) + ")") if self.model.added else None
         self.odd = re.compile("[\x1c-\x1f]").search
         self.space = re.compile(f"[{SPACE}]+").split
+        self.gap = re.compile(f"[{SPACE}]").search
         self.known: dict[str, dict] = {}
         self.fresh: dict[str, dict] = {}
 
@@ -251,12 +256,16 @@ class TextEncoder:
             return out
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[str]:
+    @staticmethod
+    def _normal(text: str) -> str:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower-cased letter by letter: no final sigma
-        text = text.lower()
+        return text.lower()
+
+    def _plain(self, text: str) -> list[str]:
+        text = self._normal(text)
         return [c for c in self.space(text) if c] if self.odd(text) else text.split()
 
     def _tokens(self, chunks: list[str]) -> list[list[int]]:
@@ -269,14 +278,20 @@ class TextEncoder:
 
     def _raw(self, chunks: list[str]) -> list[bytes]:
         """Token ids of chunks, as bytes."""
+        ids, ends = self._by_ranks([() if c[0] == " " else c for c in chunks])
+        blob, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
+        return [self.model.raw[self.model.added[c[1:]]] if c[0] == " " else blob[a:b] for c, a, b in zip(chunks, [0, *ends[:-1]], ends, strict=True)]
+
+    def _by_ranks(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in order, and where those of each end; some chunks at a time are split into words."""
         words, dtype, step = self.words, self.model.dtype, 1 << 16
-        out: list[bytes] = []
+        ids, ends, done = [np.zeros(0, dtype)], [np.zeros(0, np.int64)], 0
         for at in range(0, len(chunks), step):
-            some = chunks[at : at + step]
-            ids, ends = self.ranks.encode([() if c[0] == " " else (c,) if c.isalpha() else words(c) for c in some])
-            blob, ends = ids.astype(dtype).tobytes(), (ends * dtype.itemsize).tolist()
-            out += [self.model.raw[self.model.added[c[1:]]] if c[0] == " " else blob[a:b] for c, a, b in zip(some, [0, *ends[:-1]], ends, strict=True)]
-        return out
+            some, upto = self.ranks.encode([() if not c else (c,) if c.isalpha() else words(c) for c in chunks[at : at + step]])
+            ids.append(some.astype(dtype))
+            ends.append(upto + done)
+            done += len(some)
+        return np.concatenate(ids), np.concatenate(ends)
 
     def learn(self, chunks: set[str], form: str = "ids") -> dict:
         """A table with (at least) these chunks in the form asked for: ``ids`` as bytes, or ``shown`` (decimal ids, tokens).
@@ -305,9 +320,35 @@ class TextEncoder:
         fresh.update(zip(new, made, strict=True))
         return {c: known[c] if c in known else fresh[c] if c in fresh else again[c] for c in chunks}
 
+    def _laid(self, texts: list[str]) -> list[np.ndarray]:
+        """Each distinct chunk of these texts is encoded once, and its ids are laid out wherever it stands."""
+        chunks = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        seen = chunks.flatten().dictionary_encode()
+        ids, ends = self._by_ranks(seen.dictionary.to_pylist())
+        laid = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids)).take(seen.indices)
+        at = laid.offsets.to_numpy()[chunks.offsets.to_numpy()].tolist()
+        ids = laid.flatten().to_numpy()
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts with added tokens, or with what only Arrow takes for white space (U+001C-001F), go another way."""
+        rare = [bool(self.odd(t) or ("<" in t and self.special is not None and self.special.search(t))) for t in texts]
+        found = iter(self._laid([self._normal(t) for t, r in zip(texts, rare, strict=True) if not r]))
+        return [np.frombuffer(b"".join(self._raw(self.split(t))), self.model.dtype) if r else next(found) for t, r in zip(texts, rare, strict=True)]
+
+    def stretches(self, text: str) -> list[str]:
+        """A text cut before white space, which no word and no added token crosses, into stretches of about ``STRETCH`` characters."""
+        cuts = [0]
+        while len(text) - cuts[-1] > STRETCH and (m := self.gap(text, cuts[-1] + STRETCH)):
+            cuts.append(m.start())
+        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each whole text, by ranks: of one text of any length, or of texts that hold about ``STRETCH`` together.  No word outlasts the call."""
+        return self._some(texts) if len(texts) != 1 else [np.concatenate([self._some([s])[0] for s in self.stretches(texts[0])])]
+
     def encode(self, text: str) -> np.ndarray:
-        chunks = self.split(text)
-        return np.frombuffer(b"".join(map(self.learn(set(chunks)).__getitem__, chunks)), self.model.dtype)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """Token strings joined by a blank: what a tokenizer without a decoder step returns."""

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import TRIE_BYTES, encoder, load, uncollected
+from .bpe import STRETCH, encoder, load, uncollected
 from .common import Scratch, lean, small_batches
 
 
@@ -137,10 +137,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
         wide = enc.model.dtype.newbyteorder("<")
         last = np.array([end_id], wide).tobytes()
         task, full, ranks = TaskContext.get().partitionId(), 0, [0] * window
-        for batch in small_batches(batches, "text", TRIE_BYTES):
-            split = [enc.split(t) if t else [] for t in batch.column(1).to_pylist()]
-            ids = enc.learn(set().union(*split))
-            blobs = [b"".join([*map(ids.__getitem__, words), last]) for words in split]
+        for batch in small_batches(batches, "text", STRETCH):
+            blobs = [ids.astype(wide).tobytes() + last for ids in enc.encode_all([t or "" for t in batch.column(1).to_pylist()])]
             sizes = [len(b) // wide.itemsize for b in blobs]
             firsts, ranked = [], []
             for n in sizes:

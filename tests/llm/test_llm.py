@@ -404,3 +404,40 @@ def test_ids_by_ranks(tokenizer):
     for c in chunks:
         got = np.frombuffer(raw[c], enc.model.dtype).tolist()
         assert got == lib.encode(c.strip(), add_special_tokens=False).ids == [int(i) for i in shown[c][0].split()], c
+
+
+def test_ids_keep_no_words(tokenizer):
+    """Texts of ever new words are encoded without a table of words that grows: little is held afterwards, and no more at a time for more texts."""
+    import json
+    import tracemalloc
+
+    enc = bpe.TextEncoder(json.loads(bpe.load(tokenizer)))
+    enc.encode("some words ahead of the count")
+    rng = np.random.default_rng(21)
+    letters = np.array(list("aeioutnshrdl"))
+    texts = [" ".join(map("".join, rng.choice(letters, (40_000, 8)).tolist())) for _ in range(4)]
+    tracemalloc.start()
+    peaks = []
+    for t in texts:
+        tracemalloc.reset_peak()
+        enc.encode(t)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert left < 1 << 20 and max(peaks) < 1.2 * peaks[0]
+
+
+def test_ids_of_many_texts(tokenizer, monkeypatch):
+    """Distinct words once, laid out where they stand; long texts in stretches: the library's ids, whatever the texts hold."""
+    import json
+
+    lib = pytest.importorskip("tokenizers").Tokenizer.from_file(tokenizer)
+    enc = bpe.TextEncoder(json.loads(bpe.load(tokenizer)))
+    rng = np.random.default_rng(22)
+    parts = ["it's", "alpha", "Beta", "x\x1cy", "\x1d", "<|endoftext|>", "a<|startoftext|>b", "<", "ΣΑΣ", "İ", "é", " ́", "中文", "　", "\x85", "\n", "\t \n", "12!?", "½", "_", ""]
+    texts = ["", " ", "\x1c", "<|endoftext|>", *(str(rng.choice([" ", "", "\n"])).join(rng.choice(parts, rng.integers(1, 60))) for _ in range(300))]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in enc.encode_all(texts)] == want and enc.encode_all([]) == []
+    assert [i.tolist() for i in enc.encode_all(["\x1c", "<|endoftext|>"])] == want[2:4]
+    monkeypatch.setattr(bpe, "STRETCH", 7)
+    assert [enc.encode(t).tolist() for t in texts] == want and len(enc.stretches(" ".join(["alpha"] * 20))) > 5
