@@ -42,3 +42,18 @@ TIES = (58285, 85039, 135583, 148466, 159113, 162337)
 def test_zones_at_ties(spark, tmp_path, monkeypatch):
     got, want = both(spark, events_of(spark, tmp_path, monkeypatch, TIES), "grab_zone")
     assert len(got) == len(TIES) and got == want
+
+
+def test_drags_at_ties(spark, tmp_path, monkeypatch):
+    got, want = both(spark, events_of(spark, tmp_path, monkeypatch, TIES), "drag_edits")
+    assert len(got) == len(TIES) and got == want
+
+
+def test_rounding_is_that_of_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from contiguum.plans import registry
+
+    values = [k + 0.000005 for k in range(200)] + [0.0, 1e-9, 7e300, 1e308]
+    want = [duckdb.connect().execute("select round(?::double, 5)", [v]).fetchall()[0][0] for v in values]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(*registry.r5("v")).collect()]
+    assert got == want
